@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .license_scan import OP1_SQL, op1_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .quality_rules import OP2_SQL, op2_quality_rules
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
+    "op1_license_scan": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
 }
