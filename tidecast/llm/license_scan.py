@@ -71,7 +71,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cover:
         F.regexp_extract_all(lower_ascii(body), F.lit(WORD), F.lit(0)).alias("words"),
     )
     pairs = words.withColumn("pairs", F.concat(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b)), F.array(F.lit(SENTINEL))))
-    rolled = pairs.select("id", "k1", "k2", "words", F.posexplode("pairs").alias("p", "hash"))
+    # outer: for the inner form Catalyst infers a filter on the array's size and pushes it, with all the hashing, below
+    rolled = pairs.select("id", "k1", "k2", "words", F.posexplode_outer("pairs").alias("p", "hash"))
     hits = rolled.join(F.broadcast(_places(docs.sparkSession)), "hash").filter(
         F.when(F.col("t") < 0, F.col("p") == F.size("words")).otherwise((F.get("words", F.col("p")) == F.col("w0")) & (F.get("words", F.col("p") + 1) == F.col("w1")))
     )
