@@ -62,6 +62,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def fold(text: bytes) -> bytes:
+    """The text in lower case, all letters."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of SplitMix64)."""
     h = h.astype(U64, copy=True)

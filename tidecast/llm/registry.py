@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_decontamination
 from .license_scan import OP1_SQL, op1_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .piece_sampling import op3_piece_sampling
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_piece_sampling": op3_piece_sampling,
+    "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
