@@ -8,12 +8,14 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .piece_sampling import op3_piece_sampling
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .secret_scan import OP7_SQL, op7_secret_scan
+from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_piece_sampling": op3_piece_sampling,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op9_url_filter": op9_url_filter,
