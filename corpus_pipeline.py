@@ -1,25 +1,58 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and sampled piece encoding."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and sampled piece encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
+documents. Between stages the rows are written as Parquet to the shared folder, so a lost executor costs its own tasks only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.llm import decontamination, near_dedup, piece_sampling, quality_rules
+from tidecast.llm import line_dedup as lines
 from tidecast.llm.common import read, stored
-from tidecast.llm.line_dedup import drop_lines
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold go everywhere; n_chars follows the text that is left."""
-    kept = drop_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = lines.drop_lines(docs)
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with up to 15 % of its words edited, go."""
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of each text, and whether decoding gives the text back."""
+    vocabulary = piece_sampling.Vocabulary.load()
+    encoded = piece_sampling.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary)
+    decoded = piece_sampling.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "lang", "source", "pieces", F.size("pieces").alias("n_pieces"), F.equal_null("text", "decoded").alias("lossless"))
 
 
 STAGES = [
+    ("quality rules", quality),
     ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding", encode),
 ]
 
-ORACLE_SQL = None  # sampling and near-duplicate classes have no SQL form; tests/llm holds brute-force versions
+ORACLE_SQL = None  # near-duplicate classes and sampled segmentations have no SQL form; tests/llm holds brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import U64, WORD_BY_ALNUM, Spans, as_bytes, fold, read, word_hashes
 
@@ -121,48 +122,65 @@ class Items:
         return sorted(out)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, item id, distance, start_word, end_word, places): a row for each document and item found in it."""
+def blocks(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The benchmark's items in blocks of about block_words words."""
+    block, words = [], 0
+    for r in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
+        data = (r.t or "").encode()
+        block.append((r.i, data))
+        words += len(data) // 4 + 1
+        if words > block_words:
+            yield Items(block, error_rate, min_words)
+            block, words = [], 0
+    if block:
+        yield Items(block, error_rate, min_words)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", **options) -> DataFrame:
+    """(id, item id, distance, start_word, end_word, places): a row for each document and item found in it. options: as for blocks()."""
+    kind = to_arrow_type(benchmark.schema[item_id].dataType)
     schema = T.StructType([
         T.StructField(id_column, docs.schema[id_column].dataType), T.StructField(item_id, benchmark.schema[item_id].dataType),
         *(T.StructField(c, T.IntegerType()) for c in ("distance", "start_word", "end_word", "places")),
     ])
-    kinds = [pa.int32()] * 4
     rows = docs.select(F.col(id_column), F.col(text).cast("string"))
 
-    def search(block: list[tuple]) -> DataFrame:
-        handle = docs.sparkSession.sparkContext.broadcast(Items(block, error_rate, min_words))
+    def search(block: Items) -> DataFrame:
+        handle = docs.sparkSession.sparkContext.broadcast(block)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = handle.value
             for batch in batches:
-                which, found = [], []
-                for k, x in enumerate(as_bytes(batch.column(1))):
-                    for hit in items.search(x):
-                        which.append(k)
-                        found.append(hit)
-                names = [items.items[f[0]][0] for f in found]
-                id_kind = item_kind if found else pa.null()
-                columns = [batch.column(0).take(pa.array(which, pa.int64())), pa.array(names, id_kind).cast(item_kind), *(pa.array([f[1 + i] for f in found], kinds[i]) for i in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                found = [(k, *hit) for k, x in enumerate(as_bytes(batch.column(1))) for hit in items.search(x)]
+                ids = pa.array([items.items[f[1]][0] for f in found], kind)
+                numbers = [pa.array([f[i] for f in found], pa.int32()) for i in range(2, 6)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), ids, *numbers], schema.names)
 
         return rows.mapInArrow(apply, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
-    block, words, out = [], 0, None
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        data = (r.t or "").encode()
-        block.append((r.i, data))
-        words += len(data) // 4 + 1
-        if words > block_words:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block, words = [], 0
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in blocks(benchmark, item_id, **options):
+        out = out.unionByName(search(block))
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", **options) -> DataFrame:
+    """docs without the rows in which an item is found; one pass over what is left for each block of items, no shuffle."""
+    at = docs.columns.index(text)
+
+    def clean(rows: DataFrame, block: Items) -> DataFrame:
+        handle = docs.sparkSession.sparkContext.broadcast(block)
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not handle.value.search(x) for x in as_bytes(batch.column(at))], pa.bool_()))
+
+        return rows.mapInArrow(apply, docs.schema)
+
+    for block in blocks(benchmark, item_id, **options):
+        docs = clean(docs, block)
+    return docs
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
