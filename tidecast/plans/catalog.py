@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from . import panel_queries
+
+BOOKS = [panel_queries.book]
 QUERIES: dict = {}
 SQL: dict = {}
+for b in BOOKS:
+    QUERIES |= b.queries
+    SQL |= b.sql
+FLAGSHIP = "a1_mean_step"
