@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import panel_queries
+from . import panel_queries, score_queries
 
-BOOKS = [panel_queries.book]
+BOOKS = [panel_queries.book, score_queries.book]
 QUERIES: dict = {}
 SQL: dict = {}
 for b in BOOKS:
     QUERIES |= b.queries
     SQL |= b.sql
-FLAGSHIP = "a1_mean_step"
+FLAGSHIP = "a17_a41_composite"
