@@ -35,6 +35,7 @@ _B = U64(0x9E3779B97F4A7C55)
 LONG = 32  # characters; longer chunks are drawn one by one, in logarithms
 STORE_EDGES = 4_000_000  # then the store of chunks starts anew
 BATCH_CHARS = 1 << 20
+LATTICE_CELLS = 1 << 19  # (chunk, end place, edge length) at a time
 _UNCOVERED = 1e-8
 
 
@@ -197,8 +198,9 @@ class Sampler:
         parts = []
         for size in np.unique(sizes[sizes > 0]).tolist():
             which = np.flatnonzero(sizes == size)
-            for k in range(0, len(which), 1 << 15):
-                some = which[k : k + (1 << 15)]
+            step = max(1, LATTICE_CELLS // (size * min(size, self.v.longest)))
+            for k in range(0, len(which), step):
+                some = which[k : k + step]
                 cum, length, piece, per_node = self._lattices(np.frombuffer("".join(fresh[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), size))
                 at = (base[some, None] - (len(self.first) - 1) + np.arange(size)).ravel()
                 parts.append((at, per_node, cum, length, piece))
