@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import inference_queries, panel_queries, score_queries
+from . import forecast_queries, inference_queries, panel_queries, score_queries
 
-BOOKS = [panel_queries.book, score_queries.book, inference_queries.book]
+BOOKS = [panel_queries.book, score_queries.book, inference_queries.book, forecast_queries.book]
 QUERIES: dict = {}
 SQL: dict = {}
 for b in BOOKS:
