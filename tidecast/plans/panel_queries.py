@@ -155,7 +155,7 @@ def a7(spark, d):
 SELECT s.asset, round(sqrt(0.7 * var_w + 0.3 * var_l), 4) AS sd FROM (SELECT asset, var_samp(step) AS var_w FROM win GROUP BY asset) s
 JOIN (SELECT asset, var_samp(step) AS var_l FROM steps GROUP BY asset) l ON s.asset = l.asset""")
 def a8(spark, d):
-    s = _steps(spark, d).withColumn("age", F.row_number().over(P.NEWEST))
+    s = _steps(spark, d).withColumn("age", F.row_number().over(P.newest()))
     blend = 0.7 * F.var_samp(F.when(F.col("age") <= P.WINDOW, F.col("step"))) + 0.3 * F.var_samp("step")
     return s.groupBy("asset").agg(rounded(F.sqrt(blend), 4).alias("sd"))
 
@@ -217,25 +217,25 @@ def w1(spark, d):
 
 @book.add("w2_w3_lag_lead", f"{with_('panel')} SELECT asset, date, round(lag(value) OVER w, 2) AS before, round(lead(value, 21) OVER w, 2) AS ahead FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)", dates="date")
 def w23(spark, d):
-    return daily_panel(spark, d).select("asset", "date", rounded(F.lag("value").over(P.BY_DATE), 2).alias("before"), rounded(F.lead("value", 21).over(P.BY_DATE), 2).alias("ahead"))
+    return daily_panel(spark, d).select("asset", "date", rounded(F.lag("value").over(P.by_date()), 2).alias("before"), rounded(F.lead("value", 21).over(P.by_date()), 2).alias("ahead"))
 
 
 @book.add("w4_forward_sum", f"{with_('returns')} SELECT asset, date, round(sum(value) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING), 6) AS total FROM returns", dates="date")
 def w4(spark, d):
-    return return_panel(spark, d).select("asset", "date", rounded(F.sum("value").over(P.BY_DATE.rowsBetween(1, 21))).alias("total"))
+    return return_panel(spark, d).select("asset", "date", rounded(F.sum("value").over(P.by_date().rowsBetween(1, 21))).alias("total"))
 
 
 @book.add("w5_vol_ratio", f"""{with_('returns')} SELECT asset, date, round(stddev_samp(value) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)
  / stddev_samp(value) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS ratio FROM returns""", dates="date")
 def w5(spark, d):
-    ahead, back = F.stddev_samp("value").over(P.BY_DATE.rowsBetween(1, 21)), F.stddev_samp("value").over(P.BY_DATE.rowsBetween(-59, 0))
+    ahead, back = F.stddev_samp("value").over(P.by_date().rowsBetween(1, 21)), F.stddev_samp("value").over(P.by_date().rowsBetween(-59, 0))
     return return_panel(spark, d).select("asset", "date", rounded(ahead / back).alias("ratio"))
 
 
 @book.add("w12_trailing_frames", f"""{with_('returns')} SELECT asset, date, round(sum(value) OVER (w ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS sum_21,
 round(stddev_samp(value) OVER (w ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), 6) AS vol_63, round(value - lag(value, 63) OVER w, 6) AS change_63 FROM returns WINDOW w AS (PARTITION BY asset ORDER BY date)""", dates="date")
 def w12(spark, d):
-    return return_panel(spark, d).select("asset", "date", rounded(F.sum("value").over(P.BY_DATE.rowsBetween(-20, 0))).alias("sum_21"), rounded(F.stddev_samp("value").over(P.BY_DATE.rowsBetween(-62, 0))).alias("vol_63"), rounded(F.col("value") - F.lag("value", 63).over(P.BY_DATE)).alias("change_63"))
+    return return_panel(spark, d).select("asset", "date", rounded(F.sum("value").over(P.by_date().rowsBetween(-20, 0))).alias("sum_21"), rounded(F.stddev_samp("value").over(P.by_date().rowsBetween(-62, 0))).alias("vol_63"), rounded(F.col("value") - F.lag("value", 63).over(P.by_date())).alias("change_63"))
 
 
 @book.add("w11_g18_card_grid", f"{with_('cards')} SELECT unit_id, as_of, asset, horizon, row_number() OVER (PARTITION BY unit_id ORDER BY asset, horizon) - 1 AS cell FROM cards, (SELECT DISTINCT o_orderpriority AS asset FROM orders), (VALUES (21), (63), (126)) h(horizon)", dates="as_of")
