@@ -277,3 +277,33 @@ def w8(spark, d):
     s = corpus(spark, d).filter("doc_type = 'src1'").groupBy("timestamp").agg(F.max("doc_id").alias("doc_id"))
     s = s.withColumn("previous", F.lag("doc_id").over(Window.orderBy("timestamp")))  # a row a calendar day
     return A.as_of_join(cards(spark, d), s, [], "as_of", "timestamp", ["doc_id", "previous"]).select("unit_id", "doc_id", "previous")
+
+
+def _walks(spark, d, forecaster) -> DataFrame:
+    from ..operators import walks as W
+
+    c = cards(spark, d).withColumn("horizons", F.array(*map(F.lit, HORIZONS)))
+    return W.forecast(W.newest_rows(daily_panel(spark, d), c), forecaster)
+
+
+@book.add("g8_reference_walk")
+def g8(spark, d):
+    from ..operators.walks import walk
+
+    return _walks(spark, d, walk)
+
+
+@book.add("g11_blended_walk")
+def g11(spark, d):
+    from ..operators.walks import blended_walk
+
+    return _walks(spark, d, blended_walk)
+
+
+@book.add("x1_windowed_events", "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", dates="day")
+def x1(spark, d):
+    """The streaming extension's windows, over the table as a batch."""
+    from ..streaming.events import windowed
+
+    e = windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return e.select(F.to_date("start").alias("day"), "event_type", "n", rounded("total", 4).alias("total"))
