@@ -23,6 +23,11 @@ SHIFT_PER_UNIT, SHIFT_CAP = 0.25, 0.1
 DRAWS = T.StructType([T.StructField("unit_id", T.StringType()), T.StructField("draw", T.IntegerType()), T.StructField("asset", T.StringType()), T.StructField("horizon", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("method", T.StringType())])
 
 
+def no_draws() -> pd.DataFrame:
+    kinds = {"draw": "int32", "horizon": "int32", "value": "float64"}
+    return pd.DataFrame({f.name: pd.Series([], dtype=kinds.get(f.name, "str")) for f in DRAWS})
+
+
 def seed_of(unit_id: str) -> int:
     return zlib.crc32(unit_id.encode()) & 0x7FFFFFFF
 
@@ -116,7 +121,7 @@ def sample(pairs: DataFrame, cells: DataFrame, n_draws: int = MIN_DRAWS, method:
                 if np.isfinite(x).all():
                     out.append(pd.DataFrame({"unit_id": row.unit_id, "draw": np.repeat(np.arange(n_draws), d), "asset": [c["asset"] for c in row.cells] * n_draws, "horizon": [c["horizon"] for c in row.cells] * n_draws, "value": x.ravel(), "method": name}))
                     break
-        return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in DRAWS})
+        return pd.concat(out) if out else no_draws()
 
     return names.join(matrix, "unit_id").mapInPandas(lambda batches: (draw(b) for b in batches), DRAWS)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .forecast import DRAWS, factor, nearest_correlation, seed_of
+from .forecast import DRAWS, factor, nearest_correlation, no_draws, seed_of
 
 
 def walk(history: np.ndarray, steps: list[int], n: int, key: str, log_return: bool = False) -> np.ndarray:
@@ -75,6 +75,8 @@ def forecast(histories: DataFrame, forecaster: Callable[[np.ndarray, list[int],
 
     def run(card: pd.DataFrame) -> pd.DataFrame:
         wide = card.pivot_table(index="date", columns="asset", values="value", aggfunc="last").dropna().sort_index()
+        if len(wide) < 3:  # too short for a step's spread: the card has no draws
+            return no_draws()
         steps = sorted(int(h) for h in card.horizons.iloc[0])
         x = forecaster(wide.to_numpy(float), steps, n_draws, card.unit_id.iloc[0])
         index = pd.MultiIndex.from_product([range(n_draws), wide.columns, steps], names=["draw", "asset", "horizon"])
