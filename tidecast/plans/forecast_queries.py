@@ -103,7 +103,7 @@ def j12(spark, d):
     return c.groupBy("r_name").agg(F.count("*").alias("n"), rounded(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
 
 
-@book.add("j13_parameter_grid", f"{with_('cards')} SELECT unit_id, drift, k, round(drift * 10 + k, 6) AS code FROM cards, (VALUES (0.5), (0.9)) a(drift), (VALUES (0.95), (1.0), (1.05)) b(k)")
+@book.add("j13_parameter_grid", f"{with_('cards')} SELECT unit_id, drift::DOUBLE AS drift, k::DOUBLE AS k, round(drift::DOUBLE * 10 + k::DOUBLE, 6) AS code FROM cards, (VALUES (0.5), (0.9)) a(drift), (VALUES (0.95), (1.0), (1.05)) b(k)")
 def j13(spark, d):
     grid = spark.createDataFrame([(a, b) for a in (0.5, 0.9) for b in (0.95, 1.0, 1.05)], "drift double, k double")
     return cards(spark, d).crossJoin(F.broadcast(grid)).select("unit_id", "drift", "k", rounded(F.col("drift") * 10 + F.col("k")).alias("code"))

@@ -125,7 +125,7 @@ def j9(spark, d):
     return a.join(b, ["unit_id", "family"]).groupBy("family").agg(F.count("*").alias("n"), rounded(F.avg(F.col("b") - F.col("a"))).alias("difference"))
 
 
-@book.add("g17_confidence_shift", f"WITH {SCORES_SQL} SELECT unit_id, family, CASE WHEN score < 0.5 THEN 0.0 WHEN score < 1 THEN 0.1 ELSE 0.25 END AS k FROM scores")
+@book.add("g17_confidence_shift", f"WITH {SCORES_SQL} SELECT unit_id, family, (CASE WHEN score < 0.5 THEN 0.0 WHEN score < 1 THEN 0.1 ELSE 0.25 END)::DOUBLE AS k FROM scores")
 def g17(spark, d):
     return scores(spark, d).select("unit_id", "family", F.when(F.col("score") < 0.5, 0.0).when(F.col("score") < 1, 0.1).otherwise(0.25).alias("k"))
 
