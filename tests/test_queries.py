@@ -1,7 +1,7 @@
 """Every query of the forecast operators against its SQL on the smallest tables."""
 
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 
 from tidecast.plans import catalog
 
