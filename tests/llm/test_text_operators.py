@@ -50,7 +50,7 @@ def test_license_scan(spark, odd, empty):
     ]
     got = by_id(license_scan.scan(spark.createDataFrame(rows, SCHEMA)), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
     assert got == [
-        (1, 10, 2, 2, 6, "gpl", "gpl"), (2, 2, 1, 0, 0, "mit", "mit"), (3, 4, 0, None, None, "", ""), (4, 20, 0, None, None, "", "mit"),
+        (1, 10, 2, 2, 6, "gpl", "gpl"), (2, 2, 1, 0, 0, "mit", "mit"), (3, 4, 0, None, None, "", ""), (4, 21, 0, None, None, "", "mit"),
         (5, 4, 2, 0, 2, "cc-by", "cc-by"), (6, 3, 1, 0, 0, "cc-by", "cc-by"), (7, 3, 0, None, None, "", ""), (7, 3, 0, None, None, "", ""),
     ]
     assert license_scan.scan(odd.withColumn("n_words", F.lit(1))).count() == len(ODD) and license_scan.scan(empty).count() == 0
