@@ -8,10 +8,12 @@ without words is linked to nothing but its copies.
 1. Exact copies (SHA-256 of the text) are one node, found by a plain aggregation.
 2. A sketch of a node takes the LEAST occurrence-labelled shingles with the smallest hashes and joins them in text order, so it
    is sensitive to edits and to order; each node has SKETCHES of them, with hashes of their own.
-3. Nodes that share a sketch form a bucket. In each round a bucket's nodes are compared with a few leaders of the bucket (1, 2, 4
-   ... by the round; the least node of each salt), never with each other; a node that is like a leader is settled in that
-   bucket, the others go on to the next round, until no bucket has two left. Each distinct pair is verified once. The leaders
-   differ between buckets, so a group of n near copies costs a few n comparisons and no task gathers a group.
+3. Nodes that share a sketch form a bucket. A node that holds too many shingles of its own to reach any pair's similarity
+   leaves first. In each round a bucket's nodes are compared with a few leaders of the bucket (1, 8, 64 ... by the round; of
+   each salt the node with the fewest shingles of its own), never all with each other; a node that is like a leader is settled
+   in that bucket, the others go on to the next round, until no bucket holds nodes of two components. Each distinct pair is
+   verified once, and none within a component. Pairs of later rounds must share two sketches (of pairs at exactly 0.8, one in a
+   thousand does not). So a group of n near copies costs a few n comparisons and no task gathers a group.
 4. Links become classes by least labels with pointer jumping, all in joins and aggregations.
 
 Cases: a null text is an empty one; empty texts are copies of each other; repeated rows are copies; null ids are kept (a class
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BY_SPACE, as_bytes, fold, mix, read, shingles, stored, word_hashes
+from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, filter_bits, fold, mix, read, shingles, stored, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -145,39 +147,73 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(apply, "u binary, v binary")
 
 
+def _able(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, rarity): the texts that can have a link. A shingle that no other text holds is lost to every pair, so a text with
+    over 1 - similarity of such shingles reaches no pair's similarity; a twice-seen filter of bounded size tells most of them.
+    rarity, the share of such shingles, is low for the middle of a group of near copies."""
+    n = (texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // 5  # about one shingle a word
+    distinct = lambda x: np.unique(shingles(text_words(x), SHINGLE))
+    twice = TwiceFilter.build(texts.select("text"), distinct, filter_bits(n))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, rarity = [], []
+            for k, x in enumerate(as_bytes(batch.column(1))):
+                h = distinct(x)
+                lost = len(h) - int(twice(h).sum())
+                if lost <= (1 - similarity) * len(h) + 1e-9:
+                    kept.append(k)
+                    rarity.append(lost / len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(rarity, pa.float64())], ["node", "rarity"])
+
+    return texts.select("node", "text").mapInArrow(apply, "node binary, rarity double")
+
+
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(u, v): verified pairs of different nodes, enough to connect all that buckets can connect."""
     spark = docs.sparkSession
     each = nodes.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"))
     members = each.select("node", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = stored(members.join(shared, "bucket"), "buckets")
+    involved = stored(members.join(shared, "bucket").select("bucket", "node"), "buckets")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    involved = left.select("node").distinct()
     rows = docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("node"), body.alias("text"))
-    texts = stored(rows.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    found = spark.createDataFrame([], "u binary, v binary")
-    tried = spark.createDataFrame([], "u binary, v binary")
+    texts = stored(rows.join(involved.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    able = stored(_able(texts, similarity).join(each, "node"), "able")
+    own = F.col("node").alias("comp")
+    left = stored(_open(involved.join(able, "node").select("bucket", "node", "rarity", "sketches", own)), "buckets")
+    found = tried = spark.createDataFrame([], "u binary, v binary")
     salts = 1
     while not left.isEmpty():
-        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts))
-        leaders = left.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("u")).select("bucket", "u")
-        met = stored(left.join(leaders, "bucket").filter(F.col("u") != F.col("node")).select("bucket", F.col("u"), F.col("node").alias("v")), "met")
+        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
+        leaders = stored(left.groupBy("bucket", salt).agg(F.min(F.struct("rarity", "node", "sketches", "comp")).alias("l")).select("bucket", F.col("l.node").alias("u"), F.col("l.sketches").alias("us"), F.col("l.comp").alias("ucomp")), "leaders")
+        led = leaders.select("bucket", F.col("u").alias("node"), F.lit(True).alias("leads"))
+        # leaders meet each other once; later rounds ask for a second sketch in common
+        new = (F.col("comp") != F.col("ucomp")) & (F.col("leads").isNull() | (F.col("u") < F.col("node")))
+        if salts > 1:
+            new &= F.size(F.filter(F.zip_with("sketches", "us", lambda a, b: a == b), lambda x: x)) >= 2
+        met = stored(left.join(led, ["bucket", "node"], "left").alias("m").join(leaders, (F.col("m.bucket") == leaders["bucket"]) & new).select("m.bucket", "u", F.col("node").alias("v")), "met")
         pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = pairs.join(tried, ["u", "v"], "left_anti")
-        good = stored(_verify(fresh, texts, similarity), "links")
-        found = found.unionByName(good)
-        tried = tried.unionByName(fresh) if salts == 1 else stored(tried.unionByName(fresh), "tried")
+        fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        found = stored(found.unionByName(_verify(fresh, texts, similarity)), "links")
+        tried = tried.unionByName(fresh)
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         settled = met.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("node"))
-        led = leaders.select("bucket", F.col("u").alias("node"))
-        rest = left.join(settled.unionByName(led).distinct(), ["bucket", "node"], "left_anti")
-        more = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        left = stored(rest.join(more, "bucket"), "buckets")
-        salts *= 2
+        rest = left.drop("comp").join(settled.unionByName(led.drop("leads")).distinct(), ["bucket", "node"], "left_anti")
+        if salts == 1:  # nearly all links are of the first round; older components only cost a few pairs more
+            labels = components(found)
+        comp = F.coalesce("label", "node").alias("comp")
+        left = stored(_open(rest.join(labels, "node", "left").select("bucket", "node", "rarity", "sketches", comp)), "buckets")
+        salts *= 8
     return found
 
 
+def _open(left: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold two components or more."""
+    more = left.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("bucket")
+    return left.join(more, "bucket")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges is connected to."""
     both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
