@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, read
+from .common import WORD_BY_ALNUM, WORD_BY_SPACE, as_bytes, read, word_bounds
 from .quality_rules import SYMBOLS, Text
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -37,8 +37,7 @@ class Labeller:
     good: tuple[float, float]  # votes good within these bounds
     bad: tuple[float, float]  # else bad within these, else nothing
 
-    def vote(self, t: Text) -> int:
-        r = self.ratio(t)
+    def vote(self, r: float) -> int:
         return GOOD if self.good[0] <= r <= self.good[1] else BAD if self.bad[0] <= r <= self.bad[1] else NONE
 
 
@@ -46,9 +45,21 @@ def _words(t: Text) -> int:
     return max(1, t.n_words)
 
 
+def _ends(t: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Last byte of each word and the byte before it, a space where it has one byte."""
+    if "ends" not in t.__dict__:
+        starts, ends = word_bounds(t.data, WORD_BY_SPACE)
+        b = np.frombuffer(b" " + t.data, np.uint8)
+        t.__dict__["ends"] = b[ends], np.where(ends - starts > 1, b[ends - 1], 32)
+    return t.__dict__["ends"]
+
+
+_IS_SYMBOL, _IS_MARK = (np.array([b in chars for b in range(256)]) for chars in (SYMBOLS, b".,?:;"))
+
+
 def _marked(t: Text) -> float:
     """Share of words that end in a symbol."""
-    return sum(w[-1] in SYMBOLS for w in t.words) / _words(t)
+    return int(_IS_SYMBOL[_ends(t)[0]].sum()) / _words(t)
 
 
 def _exclaimed(t: Text) -> float:
@@ -75,7 +86,10 @@ def _worst(t: Text) -> float:
 
 def _paused(t: Text) -> float:
     """Share of words that end in one of the marks of prose, without a mark repeated."""
-    return sum(w[-1:] in (b".", b",", b"?", b":", b";") and w[-2:-1].isalnum() | (w[-2:-1] >= b"\x80") for w in t.words) / _words(t) if not _exclaimed(t) > 0.2 and not _marked(t) > 0.2 else 0.0
+    if _exclaimed(t) > 0.2 or _marked(t) > 0.2:
+        return 0.0
+    last, before = _ends(t)
+    return int((_IS_MARK[last] & WORD_BY_ALNUM[before]).sum()) / _words(t)
 
 
 _INF = float("inf")
@@ -94,11 +108,15 @@ LABELLERS = (
 )
 
 
-def votes(t: Text, labellers: Sequence[Labeller] = LABELLERS) -> int:
-    """The votes as one number in base 3."""
+def ratios(t: Text, labellers: Sequence[Labeller] = LABELLERS) -> list[float]:
+    return [labeller.ratio(t) for labeller in labellers]
+
+
+def votes(found: Sequence[float], labellers: Sequence[Labeller] = LABELLERS) -> int:
+    """The votes on a text of these ratios as one number in base 3."""
     n = 0
-    for labeller in labellers:
-        n = 3 * n + labeller.vote(t)
+    for labeller, r in zip(labellers, found, strict=True):
+        n = 3 * n + labeller.vote(r)
     return n
 
 
@@ -142,14 +160,14 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, k: int, steps: int = 20
     return model
 
 
-def features(t: Text, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+def features(t: Text, found: Sequence[float], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Places and values: roots of the shares of hashed byte trigrams, and a place for the bin of each labeller's ratio."""
     b = np.frombuffer(t.data, np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - (dimensions.bit_length() - 1))
     n = np.bincount(h, minlength=dimensions)
     at = np.flatnonzero(n)
     value = np.sqrt(n[at] / max(1, len(h)))
-    bins = [(i * 101 + min(9, int(10 * min(1.0, f.ratio(t) / 2))) * 7919 + 13) % dimensions for i, f in enumerate(LABELLERS)]
+    bins = [(i * 101 + min(9, int(10 * min(1.0, r / 2))) * 7919 + 13) % dimensions for i, r in enumerate(found)]
     return np.concatenate([at, bins]), np.concatenate([value, np.full(len(bins), 0.3)])
 
 
@@ -179,7 +197,7 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
         seen: dict[int, int] = {}
         for batch in batches:
             for x in as_bytes(batch.column(0)):
-                v = votes(Text(x), labellers)
+                v = votes(ratios(Text(x), labellers), labellers)
                 seen[v] = seen.get(v, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
@@ -197,8 +215,9 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
             rows = []
             for x in as_bytes(batch.column(0)):
                 t = Text(x)
-                at, value = features(t)
-                rows.append((votes(t, labellers), at.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
+                found = ratios(t, labellers)
+                at, value = features(t, found)
+                rows.append((votes(found, labellers), at.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["votes", "place", "value"])
 
     # about train_rows rows; copies count once, so a large group of copies does not swell the sample
@@ -214,8 +233,9 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
             v, z = [], []
             for x in as_bytes(batch.column(at_text)):
                 t = Text(x)
-                v.append(votes(t, labellers))
-                at, value = features(t)
+                found = ratios(t, labellers)
+                v.append(votes(found, labellers))
+                at, value = features(t, found)
                 z.append(float(w[at] @ value + w[-1]))
             s = 1 / (1 + np.exp(-np.array(z)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, pa.int64()), pa.array(labels.posterior(np.array(v, np.int64)) if v else [], pa.float64()), pa.array(s, pa.float64()), pa.array(s >= 0.5, pa.bool_())], names)
