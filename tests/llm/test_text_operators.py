@@ -237,6 +237,49 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def brute_classes_fast(rows):
+    """As brute_classes, with the shingles in common counted in one product."""
+    words = [near_dedup.text_words(t.encode()) for _, t in rows]
+    sets = [np.unique(near_dedup.shingles(w, near_dedup.SHINGLE)) for w in words]
+    which, held = np.unique(np.concatenate(sets), return_inverse=True)
+    m = np.zeros((len(rows), len(which)), np.float32)
+    m[np.repeat(np.arange(len(rows)), [len(x) for x in sets]), held] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = both >= 0.8 * (n[:, None] + n - both) - 1e-3
+    label = np.full(len(rows), -1)
+    for i in range(len(rows)):
+        todo = [i] if label[i] < 0 else []
+        label[todo] = i
+        while todo:
+            a = todo.pop()
+            for b in np.flatnonzero(near[a] & (label < 0)).tolist():
+                if near_dedup.alike(words[a], words[b]):
+                    label[b] = i
+                    todo.append(b)
+    return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+
+
+def classes(spark, rows):
+    return {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+
+
+def test_nodes_like_a_leader_still_meet_the_others(spark):
+    r = random.Random(6)
+    texts = []
+    for g in range(60):  # the first is like the second, the second like the third, the first not like the third
+        w = [f"g{g}w{k}" for k in range(85)]
+        texts += [w, w[:84], w[:68]]
+    base, held = [f"v{k}" for k in range(100)], {}
+    while len(texts) < 1700:  # a walk of edits: a group of near copies that no leader is like all of
+        if len(held) > r.randrange(9):
+            held.pop(r.choice(list(held)))
+        else:
+            held[r.randrange(100)] = f"e{r.randrange(3)}"
+        texts.append([held.get(k, x) for k, x in enumerate(base)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    assert classes(spark, rows) == brute_classes_fast(rows)
+
+
 def test_one_row_stays_of_repeated_rows_and_null_ids(odd):
     kept = by_id(near_dedup.keep_one(odd), "text")
     assert kept.count((9, "twice")) == 1 and (None, "no id") in kept and len([x for x in kept if not x[1]]) == 1

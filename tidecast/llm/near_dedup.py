@@ -9,11 +9,12 @@ without words is linked to nothing but its copies.
 2. A sketch of a node takes the LEAST occurrence-labelled shingles with the smallest hashes and joins them in text order, so it
    is sensitive to edits and to order; each node has SKETCHES of them, with hashes of their own.
 3. Nodes that share a sketch form a bucket. A node that holds too many shingles of its own to reach any pair's similarity
-   leaves first. In each round a bucket's nodes are compared with a few leaders of the bucket (1, 8, 64 ... by the round; of
-   each salt the node with the fewest shingles of its own), never all with each other; a node that is like a leader is settled
-   in that bucket, the others go on to the next round, until no bucket holds nodes of two components. Each distinct pair is
-   verified once, and none within a component. Pairs of later rounds must share two sketches (of pairs at exactly 0.8, one in a
-   thousand does not). So a group of n near copies costs a few n comparisons and no task gathers a group.
+   leaves first. In each round the leaders of a bucket (1, 8, 64 ... by the round; of each salt the node with the fewest
+   shingles of its own) are compared with all nodes of other components in it, settled or not, and leave; the bucket is done
+   when it holds nodes of one component. After three rounds the largest component of a bucket leads no more. So each pair of a
+   bucket is compared, or is within a component, or cannot be alike by its sizes. Each distinct pair is verified once. Pairs
+   of later rounds must share two sketches (of pairs at exactly 0.8, one in a thousand does not). A group of n near copies
+   costs a few n comparisons as far as leaders connect it; nodes that stay apart cost their product. No task gathers a group.
 4. Links become classes by least labels with pointer jumping, all in joins and aggregations.
 
 Cases: a null text is an empty one; empty texts are copies of each other; repeated rows are copies; null ids are kept (a class
@@ -22,11 +23,11 @@ with ids takes the least one, else its id is null); extra columns are ignored; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, filter_bits, fold, mix, read, shingles, stored, word_hashes
@@ -35,6 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 LEAST = 5
 SKETCHES = 24
+LEAD_BY_RARITY = 64
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -148,25 +150,35 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _able(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, rarity): the texts that can have a link. A shingle that no other text holds is lost to every pair, so a text with
+    """(node, rarity, size, lost, words): the texts that can have a link. A shingle that no other text holds is lost to every pair, so a text with
     over 1 - similarity of such shingles reaches no pair's similarity; a twice-seen filter of bounded size tells most of them.
-    rarity, the share of such shingles, is low for the middle of a group of near copies."""
+    rarity, the share of such shingles, is low for the middle of a group of near copies. size counts a text's shingles, lost
+    those of its own."""
     n = (texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // 5  # about one shingle a word
-    distinct = lambda x: np.unique(shingles(text_words(x), SHINGLE))
-    twice = TwiceFilter.build(texts.select("text"), distinct, filter_bits(n))
+    twice = TwiceFilter.build(texts.select("text"), lambda x: np.unique(shingles(text_words(x), SHINGLE)), filter_bits(n))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, rarity = [], []
+            kept, out = [], []
             for k, x in enumerate(as_bytes(batch.column(1))):
-                h = distinct(x)
+                words = text_words(x)
+                h = np.unique(shingles(words, SHINGLE))
                 lost = len(h) - int(twice(h).sum())
                 if lost <= (1 - similarity) * len(h) + 1e-9:
                     kept.append(k)
-                    rarity.append(lost / len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(rarity, pa.float64())], ["node", "rarity"])
+                    out.append((lost / len(h), len(h), lost, len(words)))
+            columns = zip(*out, strict=True) if out else ((),) * 4
+            kinds = (pa.float64(), *(pa.int32(),) * 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["node", "rarity", "size", "lost", "words"])
+
+    return texts.select("node", "text").mapInArrow(apply, "node binary, rarity double, size int, lost int, words int")
 
-    return texts.select("node", "text").mapInArrow(apply, "node binary, rarity double")
+
+def _possible(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+    """False only where the sizes of two nodes rule a link out: lengths too far apart, or too few shingles that others hold."""
+    both = F.least(a("size") - a("lost"), b("size") - b("lost"))
+    far = F.abs(a("words") - b("words")) > (1 - similarity) * F.greatest(a("words"), b("words")) + 1e-6
+    return ~far & (both + 1e-6 >= similarity * (a("size") + b("size") - both))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -180,34 +192,53 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
     rows = docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("node"), body.alias("text"))
     texts = stored(rows.join(involved.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     able = stored(_able(texts, similarity).join(each, "node"), "able")
-    own = F.col("node").alias("comp")
-    left = stored(_open(involved.join(able, "node").select("bucket", "node", "rarity", "sketches", own)), "buckets")
+    traits = [*able.columns]
+    left = stored(_open(involved.join(able, "node").select("bucket", *traits, F.col("node").alias("comp"))), "buckets")
     found = tried = spark.createDataFrame([], "u binary, v binary")
+    labels = None
     salts = 1
     while not left.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        leaders = stored(left.groupBy("bucket", salt).agg(F.min(F.struct("rarity", "node", "sketches", "comp")).alias("l")).select("bucket", F.col("l.node").alias("u"), F.col("l.sketches").alias("us"), F.col("l.comp").alias("ucomp")), "leaders")
-        led = leaders.select("bucket", F.col("u").alias("node"), F.lit(True).alias("leads"))
+        able_to_lead = left if salts <= LEAD_BY_RARITY else _not_largest(left)
+        leaders = stored(able_to_lead.groupBy("bucket", salt).agg(F.min(F.struct("rarity", *(c for c in left.columns if c not in ("bucket", "rarity")))).alias("l")).select("bucket", "l"), "leaders")
+        led = leaders.select("bucket", F.col("l.node").alias("node"), F.lit(True).alias("leads"))
+        m, l = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"l.{c}"))
         # leaders meet each other once; later rounds ask for a second sketch in common
-        new = (F.col("comp") != F.col("ucomp")) & (F.col("leads").isNull() | (F.col("u") < F.col("node")))
+        new = (m("comp") != l("comp")) & (m("leads").isNull() | (l("node") < m("node"))) & _possible(m, l, similarity)
         if salts > 1:
-            new &= F.size(F.filter(F.zip_with("sketches", "us", lambda a, b: a == b), lambda x: x)) >= 2
-        met = stored(left.join(led, ["bucket", "node"], "left").alias("m").join(leaders, (F.col("m.bucket") == leaders["bucket"]) & new).select("m.bucket", "u", F.col("node").alias("v")), "met")
+            new &= F.size(F.filter(F.zip_with(m("sketches"), l("sketches"), lambda a, b: a == b), lambda x: x)) >= 2
+        met = left.join(led, ["bucket", "node"], "left").alias("m").join(leaders, (F.col("m.bucket") == leaders["bucket"]) & new).select(l("node").alias("u"), m("node").alias("v"))
         pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = stored(found.unionByName(_verify(fresh, texts, similarity)), "links")
-        tried = tried.unionByName(fresh)
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        settled = met.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("node"))
-        rest = left.drop("comp").join(settled.unionByName(led.drop("leads")).distinct(), ["bucket", "node"], "left_anti")
-        if salts == 1:  # nearly all links are of the first round; older components only cost a few pairs more
-            labels = components(found)
-        comp = F.coalesce("label", "node").alias("comp")
-        left = stored(_open(rest.join(labels, "node", "left").select("bucket", "node", "rarity", "sketches", comp)), "buckets")
+        linked = stored(_verify(fresh, texts, similarity), "links")
+        found, tried = found.unionByName(linked), tried.unionByName(fresh)
+        rest = left.join(led, ["bucket", "node"], "left_anti")  # a leader has met all others of its bucket
+        if labels is None:
+            labels = components(linked)
+        elif not linked.isEmpty():
+            labels = _joined(labels, linked)
+        rest = rest.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        left = stored(_open(rest), "buckets")
         salts *= 8
     return found
 
 
+def _not_largest(left: DataFrame) -> DataFrame:
+    """Rows of the buckets without those of each bucket's largest component."""
+    largest = left.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"))
+    return left.join(largest, "bucket").filter(F.col("comp") != F.col("most.comp")).drop("most")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels with the components that further edges connect made one."""
+    of = lambda c: edges_of.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}l")), c, "left").withColumn(c, F.coalesce(f"{c}l", c)).drop(f"{c}l")
+    nodes = labels.unionByName(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    edges_of = edges
+    edges_of = of("u")
+    joined = components(of("v").filter("u != v")).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return stored(nodes.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def _open(left: DataFrame) -> DataFrame:
     """Rows of the buckets that hold two components or more."""
     more = left.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("bucket")
