@@ -280,6 +280,29 @@ def test_nodes_like_a_leader_still_meet_the_others(spark):
     assert classes(spark, rows) == brute_classes_fast(rows)
 
 
+def test_pairs_of_one_common_sketch_are_verified_in_later_rounds(spark):
+    r = random.Random(7)
+    sketch = lambda w: set(near_dedup.sketches(near_dedup.text_words(" ".join(w).encode())).tolist())
+    node = lambda w: hashlib.sha256(" ".join(w).encode()).digest()
+    texts = []
+    while len(texts) < 5:
+        u = [f"u{r.randrange(10**6)}" for _ in range(84)]
+        v = u[:68]
+        common = sketch(u) & sketch(v)
+        if len(common) != 1:
+            continue
+        for _ in range(200):  # a leader of their bucket that is like neither: its further words are in other texts too
+            more = [f"m{r.randrange(10**6)}" for _ in range(30)]
+            lead = u + more
+            if common <= sketch(lead) and node(lead) < min(node(u), node(v)):
+                texts = [u, v, lead, more, [*more, "x"]]
+                texts = [*texts[:3], u[-6:] + more, [*u[-6:], *more, "x"]]
+                break
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute_classes(rows)
+    assert want[1] == 0 and want[2] == 2 and classes(spark, rows) == want
+
+
 def test_one_row_stays_of_repeated_rows_and_null_ids(odd):
     kept = by_id(near_dedup.keep_one(odd), "text")
     assert kept.count((9, "twice")) == 1 and (None, "no id") in kept and len([x for x in kept if not x[1]]) == 1

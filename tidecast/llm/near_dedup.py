@@ -12,9 +12,9 @@ without words is linked to nothing but its copies.
    leaves first. In each round the leaders of a bucket (1, 8, 64 ... by the round; of each salt the node with the fewest
    shingles of its own) are compared with all nodes of other components in it, settled or not, and leave; the bucket is done
    when it holds nodes of one component. After three rounds the largest component of a bucket leads no more. So each pair of a
-   bucket is compared, or is within a component, or cannot be alike by its sizes. Each distinct pair is verified once. Pairs
-   of later rounds must share two sketches (of pairs at exactly 0.8, one in a thousand does not). A group of n near copies
-   costs a few n comparisons as far as leaders connect it; nodes that stay apart cost their product. No task gathers a group.
+   bucket is compared, or is within a component, or cannot be alike by its sizes. Each distinct pair is verified once. A group
+   of n near copies costs a few n comparisons as far as leaders connect it; nodes that stay apart cost their product. No task
+   gathers a group.
 4. Links become classes by least labels with pointer jumping, all in joins and aggregations.
 
 Cases: a null text is an empty one; empty texts are copies of each other; repeated rows are copies; null ids are kept (a class
@@ -191,9 +191,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("node"), body.alias("text"))
     texts = stored(rows.join(involved.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    able = stored(_able(texts, similarity).join(each, "node"), "able")
-    traits = [*able.columns]
-    left = stored(_open(involved.join(able, "node").select("bucket", *traits, F.col("node").alias("comp"))), "buckets")
+    able = stored(_able(texts, similarity), "able")
+    left = stored(_open(involved.join(able, "node").select("bucket", *able.columns, F.col("node").alias("comp"))), "buckets")
     found = tried = spark.createDataFrame([], "u binary, v binary")
     labels = None
     salts = 1
@@ -203,10 +202,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
         leaders = stored(able_to_lead.groupBy("bucket", salt).agg(F.min(F.struct("rarity", *(c for c in left.columns if c not in ("bucket", "rarity")))).alias("l")).select("bucket", "l"), "leaders")
         led = leaders.select("bucket", F.col("l.node").alias("node"), F.lit(True).alias("leads"))
         m, l = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"l.{c}"))
-        # leaders meet each other once; later rounds ask for a second sketch in common
+        # leaders meet each other once
         new = (m("comp") != l("comp")) & (m("leads").isNull() | (l("node") < m("node"))) & _possible(m, l, similarity)
-        if salts > 1:
-            new &= F.size(F.filter(F.zip_with(m("sketches"), l("sketches"), lambda a, b: a == b), lambda x: x)) >= 2
         met = left.join(led, ["bucket", "node"], "left").alias("m").join(leaders, (F.col("m.bucket") == leaders["bucket"]) & new).select(l("node").alias("u"), m("node").alias("v"))
         pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
