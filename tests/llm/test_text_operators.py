@@ -303,6 +303,17 @@ def test_pairs_of_one_common_sketch_are_verified_in_later_rounds(spark):
     assert want[1] == 0 and want[2] == 2 and classes(spark, rows) == want
 
 
+def test_short_near_duplicates_against_brute_force(spark):
+    r = random.Random(8)
+    texts = []
+    for g in range(150):
+        w = [f"g{g}w{r.randrange(40)}" for _ in range(r.randrange(5, 36))]
+        texts += [w, w[:-1], w[1:], w[: int(len(w) * 0.85)], w + ["more"], w + w[-1:]]
+    texts += [["so"] * k for k in range(1, 40)] + [f"a hot run of words that many hold {k}".split() for k in range(200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts) if w]
+    assert classes(spark, rows) == brute_classes_fast(rows)
+
+
 def test_one_row_stays_of_repeated_rows_and_null_ids(odd):
     kept = by_id(near_dedup.keep_one(odd), "text")
     assert kept.count((9, "twice")) == 1 and (None, "no id") in kept and len([x for x in kept if not x[1]]) == 1

@@ -7,7 +7,9 @@ without words is linked to nothing but its copies.
 
 1. Exact copies (SHA-256 of the text) are one node, found by a plain aggregation.
 2. A sketch of a node takes the LEAST occurrence-labelled shingles with the smallest hashes and joins them in text order, so it
-   is sensitive to edits and to order; each node has SKETCHES of them, with hashes of their own.
+   is sensitive to edits and to order; each node has SKETCHES of them, with hashes of their own. A node of at most SHORT
+   distinct shingles has as many sketches of the two smallest hashes instead; one near that size has both kinds, so any two
+   nodes that can be a link have a kind in common. Two short nodes that are a link share none with a chance below 1e-9.
 3. Nodes that share a sketch form a bucket. A node that holds too many shingles of its own to reach any pair's similarity
    leaves first. In each round the leaders of a bucket (1, 8, 64 ... by the round; of each salt the node with the fewest
    shingles of its own) are compared with all nodes of other components in it, settled or not, and leave; the bucket is done
@@ -36,6 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 LEAST = 5
 SKETCHES = 24
+SHORT = 25
 LEAD_BY_RARITY = 64
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
@@ -56,15 +59,25 @@ def labelled(runs: np.ndarray) -> np.ndarray:
 
 
 def sketches(words: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of a text with words."""
-    runs = labelled(shingles(words, SHINGLE))
-    out, m = np.empty(SKETCHES, U64), min(LEAST, len(runs))
+    """SKETCHES hashes of a text with words, of each kind that its number of distinct shingles asks for."""
+    runs = shingles(words, SHINGLE)
+    distinct = np.unique(runs)
+    out = []
+    if len(distinct) <= SHORT:
+        out.append(_sketches(distinct, 2, SKETCHES))
+    if len(distinct) >= SIMILARITY * SHORT:
+        out.append(_sketches(labelled(runs), LEAST, 0))
+    return np.concatenate(out)
+
+
+def _sketches(runs: np.ndarray, least: int, kind: int) -> np.ndarray:
+    out, m = np.empty(SKETCHES, U64), min(least, len(runs))
     for k, seed in enumerate(_SEEDS):
         h = (runs ^ seed) * U64(0xD6E8FEB86659FD93)
         h ^= h >> U64(32)
         h *= U64(0xD6E8FEB86659FD93)
         at = np.sort(np.argpartition(h, m - 1)[:m])  # in text order
-        value = U64(k + 1)
+        value = U64(kind + k + 1)
         for r in runs[at].tolist():
             value = U64((int(value) * 0x9E3779B97F4A7C15 + r) & (1 << 64) - 1)
             value ^= value >> U64(29)
