@@ -158,6 +158,19 @@ def test_passages_against_brute_force(spark, odd, empty):
     assert suffix_dedup.repeated_passages(odd.withColumn("core", F.lit(1))).count() == 0 and suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_runs_over_task_borders_meet_the_documents_beside(spark):
+    core, order = suffix_dedup.MIN_WORDS - suffix_dedup.REACH, ["core", "after", "before"]
+    mark = lambda *first: b"".join(x.to_bytes(2, "big") for x in (first + (9,) * suffix_dedup.REACH)[: suffix_dedup.REACH])
+    # one document's run of one core goes over all tasks; another document's suffix lies at each end of it
+    rows = [(1, 11, core, 0, mark(1), mark(1))] + [(2, 22, core, k, mark(5, k + 1), mark(7)) for k in range(400)] + [(3, 33, core, 0, mark(6), mark(1))]
+    schema = "id long, text_hash long, core long, place int, after binary, before binary"
+    found = suffix_dedup._neighbours(spark.createDataFrame(rows, schema), order).collect()
+    met = defaultdict(set)
+    for x in found:
+        met[x.id, x.place].add(x.other)
+    assert all(met[2, k] == {1, 3} for k in range(400)) and met[1, 0] == met[3, 0] == {2}
+
+
 # --- decontamination
 
 

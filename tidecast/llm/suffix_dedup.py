@@ -23,6 +23,7 @@ apart by their text; extra columns are ignored; an empty table gives an empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +154,9 @@ def _neighbours(suspects: DataFrame, order: list[str]) -> DataFrame:
             _compare(core, doc, after, before, other, left, right, at[ok], with_[ok])
         found = np.flatnonzero(right >= 0)
         ids = t.column("id").combine_chunks() if isinstance(t.column("id"), pa.ChunkedArray) else t.column("id")
-        ends = np.flatnonzero((run == 0) | (run == run[-1]))  # whole first and last run: they may meet the tasks beside
+        ends = (run == 0) | (run == run[-1])  # whole first and last run: they may go on in the tasks beside
+        ends[starts[1] % n] = ends[starts[-2] - 1] = True  # and the rows next to them, which the other part of such a run meets
+        ends = np.flatnonzero(ends)
         none = pa.nulls(len(found), pa.struct([pa.field(f.name, ids.type if f.name == "id" else t.column(f.name).type) for f in edge]))
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)), pa.array(text_hash[found]), t.column("place").combine_chunks().take(pa.array(found)), pa.array(left[found].astype(np.int32)), pa.array(right[found].astype(np.int32)), ids.take(pa.array(other[found])), pa.array(np.full(len(found), task, np.int32)), none], schema.names)
         rows = pa.array(ends)
@@ -173,12 +176,11 @@ def _id_hash(ids: pa.ChunkedArray) -> np.ndarray:
 
 
 def _across(edges: DataFrame, schema: T.StructType) -> DataFrame:
-    """Compares the last run of each task with the first run of the next: a few rows for each task, never more than one document's."""
-    rows = edges.collect()
+    """Compares each run that ends a task, as far as it goes over the tasks beside, with the nearest row of another document on
+    both sides. Takes the rows of these runs and one beside each, so few, but all of a run that spans tasks."""
     by: dict[int, list] = {}
-    for r in rows:
+    for r in edges.collect():
         by.setdefault(r.task, []).append(r)
-    out, tasks = [], sorted(by)
     doc = lambda r: (r.core, r.id, r.text_hash)
     marks = lambda b: [b[i : i + 2] for i in range(0, len(b), 2)]
 
@@ -190,22 +192,12 @@ def _across(edges: DataFrame, schema: T.StructType) -> DataFrame:
             k += 1
         return k
 
-    open_runs: list = []  # the last run before this task; it goes on while whole tasks belong to it
-    for task in tasks:
-        some = by[task]
-        first = [r for r in some if doc(r) == doc(some[0])]
-        last = [r for r in some if doc(r) == doc(some[-1])]
-        if open_runs and doc(open_runs[0]) == doc(first[0]):
-            open_runs = open_runs + first if len(first) == len(some) else last
-            continue
-        if open_runs and open_runs[0].core == first[0].core:
-            for a in open_runs:
-                for b in first[:1]:
-                    out.append((a.id, a.text_hash, a.place, agree(a.before, b.before), agree(a.after, b.after), b.id))
-            for b in first:
-                a = open_runs[-1]
-                out.append((b.id, b.text_hash, b.place, agree(a.before, b.before), agree(a.after, b.after), a.id))
-        open_runs = last
+    runs = [list(g) for _, g in groupby((r for task in sorted(by) for r in by[task]), doc)]
+    out = []
+    for one, other in pairwise(runs):
+        if one[0].core == other[0].core:
+            for some, b in ((one, other[0]), (other, one[-1])):
+                out.extend((a.id, a.text_hash, a.place, agree(a.before, b.before), agree(a.after, b.after), b.id) for a in some)
     return edges.sparkSession.createDataFrame(out, T.StructType(schema.fields[:6]))
 
 
