@@ -211,6 +211,15 @@ def test_edited_items_are_found(spark, odd, empty):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.drop_contaminated(odd, bench).count() == len(ODD)
 
 
+def test_short_items_are_found(spark):
+    bench = spark.createDataFrame([(1, "one"), (2, "to be or not to"), (3, "a b c d e f g"), (4, "..."), (5, None)], "item_id long, text string")
+    rows = [(1, "just One."), (2, "so to be or not to end"), (3, "to be or not"), (4, "a b c x e f g"), (5, "a b x y e f g"), (6, "...")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (4, 3)}
+    assert {x.doc_id for x in decontamination.drop_contaminated(docs, bench).collect()} == {3, 5, 6}
+
+
 # --- near duplicates
 
 

@@ -6,8 +6,8 @@ PROBE words, if it is longer); around each hit the item is searched with Myers'
 integers of n bits. Items are taken in blocks of a bounded number of words; each block is one broadcast and one pass, so a large
 benchmark costs passes, not memory.
 
-Words are runs of ASCII letters and digits and of all non-ASCII characters, in lower case. Items of fewer than min_words words say
-nothing about a document and are not searched (a definition, not a limit of size).
+Words are runs of ASCII letters and digits and of all non-ASCII characters, in lower case. Short items
+are searched too, those of fewer than seven words without edits; only items of fewer than min_words words are not.
 
 Cases: null and empty texts or items match nothing; repeated rows give repeated results; null ids are kept; extra columns are
 ignored; of equally near places the first counts; an empty table gives an empty table.
@@ -28,7 +28,7 @@ from .common import U64, WORD_BY_ALNUM, Spans, as_bytes, fold, read, word_hashes
 
 PROBE = 5
 ERROR_RATE = 0.15
-MIN_WORDS = 8
+MIN_WORDS = 1
 BLOCK_WORDS = 1_000_000
 
 
