@@ -35,3 +35,13 @@ def running_total(df: DataFrame, keys: list[str], time: str, value: str, out: st
 
 def by_position(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
+
+
+def newest_as_of(wanted: DataFrame, series: DataFrame, n: int, keys: list[str], as_of: str = "as_of", time: str = "date") -> DataFrame:
+    """The newest n rows of a series at or before each wanted row's time: the columns of both, pos (1 for a series' first row) and age
+    (1 for the newest). One as-of look-up of the last position, then an equi-join of the n positions behind it: as many rows as
+    the result has, however long the series is. A time that a series holds twice counts as two rows."""
+    placed = by_position(series, keys, time)
+    last = as_of_join(wanted, placed.select(*keys, time, "pos"), keys, as_of, time, ["pos"]).drop(time).filter("pos is not null").withColumnRenamed("pos", "__last")
+    rows = last.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("__last") - n + 1, F.lit(1)), F.col("__last"))))
+    return rows.join(placed, [*keys, "pos"]).withColumn("age", F.col("__last") - F.col("pos") + 1).drop("__last")

@@ -27,11 +27,6 @@ def normalise(df: DataFrame) -> DataFrame:
     return rows.filter("asset is not null and date is not null and value is not null and not isnan(value)")
 
 
-def as_of(panel: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows of each card dated at its as-of or before. cards is small beside the panel; Spark picks the side to send."""
-    return cards.join(panel, panel["date"] <= cards["as_of"])
-
-
 def first_panel_wins(panels: DataFrame) -> DataFrame:
     """Of the rows (panel_order, asset, ...) those of each asset's first panel; a window, so a panel is read once."""
     return panels.withColumn("first_order", F.min("panel_order").over(by_asset())).filter("panel_order = first_order").drop("first_order")

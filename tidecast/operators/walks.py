@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .asof import newest_as_of
 from .forecast import DRAWS, factor, nearest_correlation, no_draws, seed_of
 
 
@@ -114,9 +114,5 @@ def with_client(rows: DataFrame, prompt: str, connect: Callable[[], Callable[[st
 
 
 def newest_rows(panel: DataFrame, cards: DataFrame, n: int = 300) -> DataFrame:
-    """(unit_id, asset, date, value, horizons) of the newest n rows of each card's assets as of its date."""
-    from pyspark.sql import Window
-
-    known = cards.join(panel, panel["date"] <= cards["as_of"])
-    w = Window.partitionBy("unit_id", "asset").orderBy(F.desc("date"))
-    return known.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select("unit_id", "asset", "date", "value", "horizons")
+    """(unit_id, asset, date, value, horizons) of the newest n rows of each card's assets as of its date; cards: (unit_id, as_of, asset, horizons)."""
+    return newest_as_of(cards, panel, n, ["asset"]).select("unit_id", "asset", "date", "value", "horizons")

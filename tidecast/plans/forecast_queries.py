@@ -10,7 +10,7 @@ from ..operators import forecast as M
 from ..operators import inference as I
 from ..operators import panels as P
 from ..operators import scoring as S
-from ..sources.adapters import HORIZONS, cards, corpus, daily_panel, draws, outcome, return_panel, table, with_
+from ..sources.adapters import HORIZONS, card_assets, cards, corpus, daily_panel, draws, outcome, return_panel, table, with_
 from .base import Book, rounded
 from .panel_queries import STEPS_SQL, _steps, business_day
 
@@ -20,8 +20,7 @@ CELLS_SQL = "cells AS (SELECT unit_id, as_of, asset, horizon FROM cards, (SELECT
 
 def cells(spark, d) -> DataFrame:
     """(unit_id, as_of, asset, horizon) of all cards."""
-    assets = daily_panel(spark, d).select("asset").distinct()
-    return cards(spark, d).crossJoin(F.broadcast(assets)).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
+    return card_assets(spark, d).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
 
 
 @book.add("j1_aligned_steps", f"{with_('panel')}{STEPS_SQL}, n AS (SELECT count(DISTINCT asset) AS n FROM steps) SELECT date, count(*) AS assets FROM steps, n GROUP BY date, n HAVING count(*) = n", dates="date")
@@ -145,12 +144,15 @@ def f13(spark, d):
     return listed.join(held, "doc_id", "full_outer").agg(F.count_if(F.col("timestamp") > "2000-01-01").alias("late"), F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("unlisted"))
 
 
-def _card_steps(spark, d) -> DataFrame:
-    """(unit_id, asset, date, step) of each card's newest 300 rows as of its date, holes dropped, aligned."""
-    known = P.as_of(daily_panel(spark, d), cards(spark, d))
+def _known(spark, d, n: int = 300) -> DataFrame:
+    """(unit_id, as_of, asset, date, value, age): each card's newest n rows as of its date; the newest is the anchor."""
+    return A.newest_as_of(card_assets(spark, d), daily_panel(spark, d), n, ["asset"])
+
+
+def _card_steps(known: DataFrame) -> DataFrame:
+    """(unit_id, asset, date, step) of known rows, holes dropped."""
     own = Window.partitionBy("unit_id", "asset")
-    t = known.withColumn("age", F.row_number().over(own.orderBy(F.desc("date")))).filter("age <= 300")
-    t = t.withColumn("step", F.col("value") - F.lag("value").over(own.orderBy("date"))).withColumn("gap", F.datediff("date", F.lag("date").over(own.orderBy("date"))))
+    t = known.withColumn("step", F.col("value") - F.lag("value").over(own.orderBy("date"))).withColumn("gap", F.datediff("date", F.lag("date").over(own.orderBy("date"))))
     t = t.withColumn("threshold", P.hole_threshold(F.col("gap"), own)).filter("step is not null and gap <= threshold")
     return t.select("unit_id", "asset", "date", "step")
 
@@ -158,30 +160,28 @@ def _card_steps(spark, d) -> DataFrame:
 M0_SQL = f"""{with_('panel', 'cards')}, known AS (SELECT unit_id, asset, date, value FROM cards JOIN panel ON date <= as_of QUALIFY row_number() OVER (PARTITION BY unit_id, asset ORDER BY date DESC) <= 300),
 g AS (SELECT *, value - lag(value) OVER w AS step, date_diff('day', lag(date) OVER w, date) AS gap FROM known WINDOW w AS (PARTITION BY unit_id, asset ORDER BY date)),
 l AS (SELECT unit_id, asset, greatest(10 * median(gap), 5) AS threshold FROM g GROUP BY ALL), st AS (SELECT g.* FROM g JOIN l ON g.unit_id = l.unit_id AND g.asset = l.asset WHERE step IS NOT NULL AND gap <= threshold),
-al AS (SELECT * FROM st QUALIFY count(*) OVER (PARTITION BY unit_id, date) = 5), anchor AS (SELECT unit_id, asset, arg_max(value, date) AS anchor FROM known GROUP BY ALL),
-mu AS (SELECT unit_id, asset, avg(step) AS mu FROM al GROUP BY ALL), cv AS (SELECT a.unit_id, a.asset AS asset_a, b.asset AS asset_b, covar_samp(a.step, b.step) AS cov FROM al a JOIN al b ON a.unit_id = b.unit_id AND a.date = b.date GROUP BY ALL)"""
-
-
-def _anchors(spark, d) -> DataFrame:
-    known = P.as_of(daily_panel(spark, d), cards(spark, d))
-    return known.groupBy("unit_id", "asset").agg(F.max_by("value", "date").alias("anchor"))
+x AS (SELECT unit_id, date, list(struct_pack(asset := asset, step := step)) AS l FROM st GROUP BY ALL HAVING count(*) = 5), p AS (SELECT unit_id, l, unnest(l) AS a FROM x), q AS (SELECT unit_id, a, unnest(l) AS b FROM p),
+anchor AS (SELECT unit_id, asset, arg_max(value, date) AS anchor FROM known GROUP BY ALL), mu AS (SELECT unit_id, a.asset AS asset, avg(a.step) AS mu FROM p GROUP BY ALL),
+cv AS (SELECT unit_id, a.asset AS asset_a, b.asset AS asset_b, covar_samp(a.step, b.step) AS cov FROM q GROUP BY ALL)"""
 
 
-def _cells_with_anchor(spark, d) -> DataFrame:
-    c = cells(spark, d).join(_anchors(spark, d), ["unit_id", "asset"])
+def _cells_of(known: DataFrame) -> DataFrame:
+    """(unit_id, asset, horizon, steps, anchor, cell) of the assets that a card has rows of."""
+    c = known.filter("age = 1").select("unit_id", "asset", F.col("value").alias("anchor")).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
     number = F.row_number().over(Window.partitionBy("unit_id").orderBy("asset", "horizon")) - 1
     return c.select("unit_id", "asset", "horizon", F.col("horizon").alias("steps"), "anchor", number.alias("cell"))
 
 
-def _moments(spark, d):
-    return M.moments(M.aligned_steps(_card_steps(spark, d), ["unit_id"], 5), ["unit_id"])
+def _moments(known: DataFrame):
+    return M.moments(M.aligned_steps(_card_steps(known), ["unit_id"], 5), ["unit_id"])
 
 
 @book.add("g1_m0_moments", f"""{M0_SQL} SELECT cv.unit_id, cv.asset_a, cv.asset_b, ha AS horizon_a, hb AS horizon_b, round(anchor + ha * mu, 5) AS mean_a, round(least(ha, hb) * cov / 1e6, 5) AS cov
 FROM cv JOIN mu ON mu.unit_id = cv.unit_id AND mu.asset = asset_a JOIN anchor n ON n.unit_id = cv.unit_id AND n.asset = asset_a, (VALUES (21), (63), (126)) a(ha), (VALUES (21), (63), (126)) b(hb)""")
 def g1(spark, d):
-    mu, cov = _moments(spark, d)
-    c = _cells_with_anchor(spark, d)
+    known = _known(spark, d)
+    mu, cov = _moments(known)
+    c = _cells_of(known)
     pairs = M.cell_moments(c, mu, cov, ["unit_id"])
     name = lambda n: c.select("unit_id", F.col("cell").alias(n), F.col("asset").alias(f"asset_{n}"), F.col("horizon").alias(f"horizon_{n}"))
     named = pairs.join(name("a"), ["unit_id", "a"]).join(name("b"), ["unit_id", "b"])
@@ -191,16 +191,18 @@ def g1(spark, d):
 @book.add("g1_m0_draws")
 def g1_draws(spark, d):
     """Random draws have no SQL form; tests check their seeds, moments and repeatability."""
-    mu, cov = _moments(spark, d)
-    c = _cells_with_anchor(spark, d)
+    known = _known(spark, d)
+    mu, cov = _moments(known)
+    c = _cells_of(known)
     return M.sample(M.cell_moments(c, mu, cov, ["unit_id"]), c)
 
 
 @book.add("g2_engine_draws")
 def g2_draws(spark, d):
     """Student draws under the multi-cell parameters."""
-    mu, cov = _moments(spark, d)
-    c = _cells_with_anchor(spark, d)
+    known = _known(spark, d)
+    mu, cov = _moments(known)
+    c = _cells_of(known)
     p = M.DEFAULTS | M.MULTI
     return M.sample(M.cell_moments(c, mu, cov, ["unit_id"], p["drift"], p["k"]), c, 1000, "student", p["nu"], p["mix_p"], p["mix_m"])
 
@@ -251,8 +253,11 @@ def g19(spark, d):
 @book.add("g23_staleness", f"""{with_('panel', 'cards')}, e AS (SELECT unit_id, asset, as_of, date, value FROM cards JOIN panel ON date <= as_of), f AS (SELECT unit_id, asset, arg_max(value, date) AS fresh, arg_max(value, date) FILTER (WHERE date <= as_of - 30) AS stale FROM e GROUP BY ALL)
 SELECT unit_id, round(avg(abs(fresh - stale) / fresh), 6) AS moved FROM f GROUP BY unit_id""")
 def g23(spark, d):
-    k = P.as_of(daily_panel(spark, d), cards(spark, d)).groupBy("unit_id", "asset").agg(F.max_by("value", "date").alias("fresh"), F.max_by("value", F.when(F.col("date") <= F.date_sub("as_of", 30), F.col("date"))).alias("stale"))
-    return k.groupBy("unit_id").agg(rounded(F.avg(F.abs(F.col("fresh") - F.col("stale")) / F.col("fresh"))).alias("moved"))
+    p = daily_panel(spark, d)
+    k = card_assets(spark, d).withColumn("before", F.date_sub("as_of", 30))
+    fresh = A.as_of_join(k, p, ["asset"], "as_of", "date", ["value"]).drop("date").withColumnRenamed("value", "fresh")
+    both = A.as_of_join(fresh, p, ["asset"], "before", "date", ["value"]).filter("fresh is not null")
+    return both.groupBy("unit_id").agg(rounded(F.avg(F.abs(F.col("fresh") - F.col("value")) / F.col("fresh"))).alias("moved"))
 
 
 @book.add("g24_grid_search", f"""{with_('draws', 'outcome')}, g AS (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2])::DOUBLE AS k), w AS (SELECT k, cell, m + k * (value - m) AS value, y, row_number() OVER (PARTITION BY k, cell ORDER BY value, draw) AS r, count(*) OVER (PARTITION BY k, cell) AS n FROM (SELECT *, avg(value) OVER (PARTITION BY cell) AS m FROM draws) d, g JOIN outcome o ON true WHERE o.cell = d.cell),
@@ -282,7 +287,7 @@ def w8(spark, d):
 def _walks(spark, d, forecaster) -> DataFrame:
     from ..operators import walks as W
 
-    c = cards(spark, d).withColumn("horizons", F.array(*map(F.lit, HORIZONS)))
+    c = card_assets(spark, d).withColumn("horizons", F.array(*map(F.lit, HORIZONS)))
     return W.forecast(W.newest_rows(daily_panel(spark, d), c), forecaster)
 
 

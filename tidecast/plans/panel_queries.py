@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import asof as A
 from ..operators import panels as P
-from ..sources.adapters import cards, context_panel, daily_panel, monthly_panel, return_panel, table, with_
+from ..sources.adapters import card_assets, cards, context_panel, daily_panel, monthly_panel, return_panel, table, with_
 from .base import Book, rounded
 
 book = Book()
@@ -52,7 +53,10 @@ def s3(spark, d):
 
 @book.add("f1_as_of_filter", f"{with_('panel', 'cards')} SELECT unit_id, asset, count(*) AS n, max(date) AS last_date FROM cards JOIN panel ON date <= as_of GROUP BY ALL", dates="last_date")
 def f1(spark, d):
-    return P.as_of(daily_panel(spark, d), cards(spark, d)).groupBy("unit_id", "asset").agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
+    """How many rows a card may see is the position of the last of them."""
+    p = A.by_position(daily_panel(spark, d), ["asset"], "date").select("asset", "date", "pos")
+    k = A.as_of_join(card_assets(spark, d), p, ["asset"], "as_of", "date", ["pos"]).filter("pos is not null")
+    return k.select("unit_id", "asset", F.col("pos").cast("long").alias("n"), F.col("date").alias("last_date"))
 
 
 @book.add("f2_first_panel_wins", f"""{with_('panel', 'context')},

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import asof as A
 from ..operators import forecast as M
 from ..sources.adapters import cards, corpus, draws, table, with_
 from .base import Book, rounded
@@ -78,9 +79,10 @@ def s9(spark, d):
 
 @book.add("s11_releases_as_of", f"{with_('cards', 'corpus')} SELECT unit_id, count(*) AS n, max(timestamp) AS newest FROM cards JOIN corpus ON timestamp <= as_of WHERE doc_type = 'src2' GROUP BY unit_id", dates="newest")
 def s11(spark, d):
-    docs = corpus(spark, d).filter("doc_type = 'src2'").select("timestamp")
-    c = cards(spark, d)
-    return c.join(docs, docs["timestamp"] <= c["as_of"]).groupBy("unit_id").agg(F.count("*").alias("n"), F.max("timestamp").alias("newest"))
+    """A running count by day, looked up as of each card."""
+    days = corpus(spark, d).filter("doc_type = 'src2'").groupBy("timestamp").agg(F.count("*").alias("here"))
+    counts = days.select(F.col("timestamp").alias("newest"), F.sum("here").over(Window.orderBy("timestamp")).alias("n"))  # a row a calendar day
+    return A.as_of_join(cards(spark, d), counts, [], "as_of", "newest", ["n"]).filter("n is not null").select("unit_id", "n", "newest")
 
 
 @book.add("s12_statements", rf"SELECT doc_id, md5(trim(regexp_replace(substr(text, 1, 8000), '\s+', ' ', 'g'))) AS digest FROM documents WHERE source = 'src3'")
@@ -91,11 +93,13 @@ def s12(spark, d):
 
 @book.add("s13_o3_newest_documents", f"{with_('cards', 'corpus')} SELECT unit_id, doc_id, timestamp FROM cards JOIN corpus ON timestamp <= as_of AND timestamp > as_of - 60 WHERE doc_type = 'src4' QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY timestamp DESC, doc_id DESC) <= 2", dates="timestamp")
 def s13(spark, d):
-    docs = corpus(spark, d).filter("doc_type = 'src4'").select("doc_id", "timestamp")
-    c = cards(spark, d)
-    near = c.join(docs, (docs["timestamp"] <= c["as_of"]) & (docs["timestamp"] > F.date_sub(c["as_of"], 60)))
-    w = Window.partitionBy("unit_id").orderBy(F.desc("timestamp"), F.desc("doc_id"))
-    return near.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select("unit_id", "doc_id", "timestamp")
+    """The newest two of each day first (a limit before the exchange), then the newest two days' rows as of each card."""
+    docs = corpus(spark, d).filter("doc_type = 'src4'").select("doc_type", "doc_id", "timestamp")
+    of_day = docs.withColumn("rn", F.row_number().over(Window.partitionBy("timestamp").orderBy(F.desc("doc_id")))).filter("rn <= 2")
+    ordered = of_day.withColumn("moment", F.struct("timestamp", "doc_id"))
+    wanted = cards(spark, d).select("unit_id", "as_of", F.lit("src4").alias("doc_type"), F.struct(F.col("as_of").alias("timestamp"), F.lit((1 << 63) - 1).alias("doc_id")).alias("end"))
+    near = A.newest_as_of(wanted, ordered.select("doc_type", "moment"), 2, ["doc_type"], "end", "moment")
+    return near.select("unit_id", "moment.doc_id", "moment.timestamp", "as_of").filter(F.col("timestamp") > F.date_sub("as_of", 60)).drop("as_of")
 
 
 @book.add("s14_head_and_tail", """SELECT doc_id, md5(CASE WHEN length(text) > 3000 THEN substr(text, 1, 2400) || '…' || right(text, 600) ELSE text END) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 10""")

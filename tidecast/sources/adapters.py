@@ -51,6 +51,12 @@ def cards(spark: SparkSession, sf_dir: str, every: int = CARD_EVERY) -> DataFram
     return numbered.filter(F.col("rn") % every == 0).select(F.concat(F.lit("card-"), F.col("as_of").cast("string")).alias("unit_id"), "as_of")
 
 
+def card_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, as_of, asset): each card's assets, which are those of the panel; their names are one value, so no join makes the grid."""
+    names = table(spark, sf_dir, "orders").agg(F.array_sort(F.collect_set("o_orderpriority")))
+    return cards(spark, sf_dir).withColumn("asset", F.explode(names.scalar()))
+
+
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(draw, cell, asset, horizon, value): the first CELLS places of all vectors but the last."""
     e = table(spark, sf_dir, "embeddings")
