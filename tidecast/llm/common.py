@@ -29,22 +29,53 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one of our own only where the session names none (tests)."""
+    """The shared folder of the cluster. A temporary one of our own only where the session names none and runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidecast-")
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(root)
     return root
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors.
+
+    narrow: rows of a few numbers, written in at most four files for each core of the cluster."""
+    if narrow:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{scratch_dir(df.sparkSession)}/tidecast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what stored() wrote for these; nothing that is still to run may read them."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of an Arrow batch where the session leaves Spark's own 10,000: texts may be long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) in batches of BATCH_ROWS rows, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -217,8 +248,8 @@ class TwiceFilter:
             if at is not None and twice.any():
                 yield out()
 
-        blocks = texts.mapInArrow(fill, "block int, once binary, twice binary")
-        merged = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")
+        blocks = in_arrow(texts, fill, "block int, once binary, twice binary")
+        merged = in_arrow(blocks.repartition("block").sortWithinPartitions("block"), merge, "block int, twice binary")
         flags = np.zeros(bits // 8, np.uint8)
         for row in merged.collect():  # at most MAX_BITS
             flags[row.block * _BLOCK // 8 : (row.block + 1) * _BLOCK // 8] = np.frombuffer(zlib.decompress(row.twice), np.uint8)

@@ -5,26 +5,31 @@ sequences, aligned in a band, an edit similarity of 0.8 or more. A class is a co
 document id. Words are runs between ASCII white space, in lower case; a text of fewer than five words is one shingle, and one
 without words is linked to nothing but its copies.
 
-1. Exact copies (SHA-256 of the text) are one node, found by a plain aggregation.
+1. Texts of equal folded word sequences are one node, found by a plain aggregation of its hash.
 2. A sketch of a node takes the LEAST occurrence-labelled shingles with the smallest hashes and joins them in text order, so it
    is sensitive to edits and to order; each node has SKETCHES of them, with hashes of their own. A node of at most SHORT
    distinct shingles has as many sketches of the two smallest hashes instead; one near that size has both kinds, so any two
    nodes that can be a link have a kind in common. Two short nodes that are a link share none with a chance below 1e-9.
 3. Nodes that share a sketch form a bucket. A node that holds too many shingles of its own to reach any pair's similarity
-   leaves first. In each round the leaders of a bucket (1, 8, 64 ... by the round; of each salt the node with the fewest
-   shingles of its own) are compared with all nodes of other components in it, settled or not, and leave; the bucket is done
-   when it holds nodes of one component. After three rounds the largest component of a bucket leads no more. So each pair of a
-   bucket is compared, or is within a component, or cannot be alike by its sizes. Each distinct pair is verified once. A group
-   of n near copies costs a few n comparisons as far as leaders connect it; nodes that stay apart cost their product. No task
-   gathers a group.
+   leaves first. Then the nodes of a bucket meet in rounds: its one leader with all, eight leaders (of each salt the node with
+   the fewest shingles of its own) with all, at last all with all. A pair counts only while its nodes are in two components, so
+   a group of n near copies costs a few n verifications, and only where a bound on its similarity does not rule it out: the
+   shingles of their own and the parities of the others (PARITIES bits a node) tell a least number of shingles that the two do
+   not share. So each pair of a bucket is verified, or within a component, or surely no link. Bounds are a few machine words a
+   pair within the join; texts move only for pairs that pass, a leader's once for each of CHUNKS parts of its pairs.
 4. Links become classes by least labels with pointer jumping, all in joins and aggregations.
 
-Cases: a null text is an empty one; empty texts are copies of each other; repeated rows are copies; null ids are kept (a class
-with ids takes the least one, else its id is null); extra columns are ignored; an empty table gives an empty table.
+Costs: nodes that share a bucket and stay apart cost their product in bounds, not in texts. Skewed buckets, hubs and labels are
+sides of plain equi-joins of two exchanges, which adaptive execution splits.
+
+Cases: a null text is an empty one; texts without words are linked to nothing but their copies; very long texts are sketched
+and compared whole; repeated rows are copies; null ids are kept (a class with ids takes the least one, else its id is null);
+extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, filter_bits, fold, mix, read, shingles, stored, word_hashes
+from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, discard, filter_bits, fold, in_arrow, mix, read, shingles, stored, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 LEAST = 5
 SKETCHES = 24
 SHORT = 25
-LEAD_BY_RARITY = 64
+PARITIES = 512
+LEADERS = (1, 8, None)  # of a bucket, by round; None: all
+CHUNKS = 4096
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -85,8 +92,9 @@ def _sketches(runs: np.ndarray, least: int, kind: int) -> np.ndarray:
     return out
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(shingles(a, SHINGLE)), np.unique(shingles(b, SHINGLE))
+def jaccard(a: np.ndarray, b: np.ndarray, shingles_of_a: np.ndarray | None = None) -> float:
+    x = np.unique(shingles(a, SHINGLE)) if shingles_of_a is None else shingles_of_a
+    y = np.unique(shingles(b, SHINGLE))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -119,134 +127,164 @@ def edits_within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return None
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    if not len(a) or not len(b) or jaccard(a, b) < similarity:
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, shingles_of_a: np.ndarray | None = None) -> bool:
+    if not len(a) or not len(b) or jaccard(a, b, shingles_of_a) < similarity:
         return False
     longest = max(len(a), len(b))
     return edits_within(a, b, int((1 - similarity) * longest + 1e-9)) is not None
 
 
+def _copy(text: str) -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def nodes_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, node, sketches) by row; sketches are null for texts without words."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("node"), body.alias("text"))
-    schema = f"id {docs.schema[id_column].dataType.simpleString()}, node binary, sketches array<bigint>"
+    """(id, copy, node, sketches) by row: copy tells the text, node its folded words; sketches are null for texts without words."""
+    rows = docs.select(F.col(id_column).alias("id"), _copy(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = f"id {docs.schema[id_column].dataType.simpleString()}, copy binary, node binary, sketches array<bigint>"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x in as_bytes(batch.column(2)):
+            found, names = [], []
+            for x, copy in zip(as_bytes(batch.column(2)), batch.column(1).to_pylist(), strict=True):
                 words = text_words(x)
                 found.append(sketches(words).view(np.int64) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "node", "sketches"])
+                names.append(hashlib.sha256(b" ".join(fold(x).split())).digest()[:16] if len(words) else copy)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "copy", "node", "sketches"])
 
-    return rows.mapInArrow(apply, schema)
+    return in_arrow(rows, apply, schema)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of the pairs that are alike. Each text is shuffled once for each pair that it is in."""
-    joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    """(u, v) of the pairs that are alike. The pairs of a u are dealt to CHUNKS parts by v; u's text goes once to each part that it
+    has pairs in, where the texts of its partners follow as a stream."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(CHUNKS)))
+    of = lambda c: texts.select(F.col("node").alias(c), "text")
+    heads = dealt.select("u", "part").distinct().join(of("u"), "u").select("u", "part", F.lit(None).cast("binary").alias("v"), "text")
+    rest = dealt.join(of("v"), "v").select("u", "part", "v", "text")
+    ordered = heads.unionByName(rest).repartition("u", "part").sortWithinPartitions("u", "part", "v")  # the text of u first
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held = None
         for batch in batches:
-            last, words = None, None
             kept = []
-            for k, (u, a, b) in enumerate(zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True)):
-                if u != last:
-                    last, words = u, text_words(a)
-                if alike(words, text_words(b), similarity):
+            for k, (v, x) in enumerate(zip(batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True)):
+                other = text_words(x)
+                if v is None:
+                    words, held = other, np.unique(shingles(other, SHINGLE))
+                elif alike(words, other, similarity, held):
                     kept.append(k)
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], ["u", "v"])
+
+    return in_arrow(ordered, apply, "u binary, v binary")
+
 
-    return joined.mapInArrow(apply, "u binary, v binary")
+_MARKS = [f"m{i}" for i in range(PARITIES // 64)]
+
+
+def _parities(runs: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether an odd number of the shingles falls on each. Two sets differ in as many shingles as bits, or more."""
+    at = np.bincount((mix(runs) >> U64(64 - (PARITIES.bit_length() - 1))).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(at.astype(np.uint8)).view(np.int64)
 
 
 def _able(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, rarity, size, lost, words): the texts that can have a link. A shingle that no other text holds is lost to every pair, so a text with
-    over 1 - similarity of such shingles reaches no pair's similarity; a twice-seen filter of bounded size tells most of them.
-    rarity, the share of such shingles, is low for the middle of a group of near copies. size counts a text's shingles, lost
-    those of its own."""
+    """(node, rarity, size, lost, words, parities): the texts that can have a link. A shingle that no other text holds is lost to every pair, so a
+    text with over 1 - similarity of such shingles reaches no pair's similarity; a twice-seen filter of bounded size tells most of
+    them. rarity, the share of such shingles, is low for the middle of a group of near copies. size counts a text's shingles, lost
+    those of its own; the parities are of all others."""
     n = (texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // 5  # about one shingle a word
     twice = TwiceFilter.build(texts.select("text"), lambda x: np.unique(shingles(text_words(x), SHINGLE)), filter_bits(n))
+    names = ["node", "rarity", "size", "lost", "words", *_MARKS]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, out = [], []
+            kept, out, marks = [], [], []
             for k, x in enumerate(as_bytes(batch.column(1))):
                 words = text_words(x)
                 h = np.unique(shingles(words, SHINGLE))
-                lost = len(h) - int(twice(h).sum())
+                common = h[twice(h)]
+                lost = len(h) - len(common)
                 if lost <= (1 - similarity) * len(h) + 1e-9:
                     kept.append(k)
                     out.append((lost / len(h), len(h), lost, len(words)))
+                    marks.append(_parities(common))
             columns = zip(*out, strict=True) if out else ((),) * 4
             kinds = (pa.float64(), *(pa.int32(),) * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["node", "rarity", "size", "lost", "words"])
+            bits = np.stack(marks) if marks else np.zeros((0, len(_MARKS)), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(pa.array(bits[:, i]) for i in range(len(_MARKS)))], names)
 
-    return texts.select("node", "text").mapInArrow(apply, "node binary, rarity double, size int, lost int, words int")
+    return in_arrow(texts.select("node", "text"), apply, "node binary, rarity double, size int, lost int, words int, " + ", ".join(f"{m} long" for m in _MARKS))
 
 
 def _possible(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
-    """False only where the sizes of two nodes rule a link out: lengths too far apart, or too few shingles that others hold."""
+    """False only where two nodes are surely no link: lengths too far apart, too few shingles that others hold, or too many shingles
+    that only one of the two holds (those of their own, and one or more for each parity that differs)."""
     both = F.least(a("size") - a("lost"), b("size") - b("lost"))
+    total = a("size") + b("size")
     far = F.abs(a("words") - b("words")) > (1 - similarity) * F.greatest(a("words"), b("words")) + 1e-6
-    return ~far & (both + 1e-6 >= similarity * (a("size") + b("size") - both))
+    apart = sum((F.bit_count(a(m).bitwiseXOR(b(m))) for m in _MARKS), a("lost") + b("lost"))
+    return ~far & (both + 1e-6 >= similarity * (total - both)) & (apart <= (1 - similarity) / (1 + similarity) * total + 1e-6)
 
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v): verified pairs of different nodes, enough to connect all that buckets can connect."""
-    spark = docs.sparkSession
-    each = nodes.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"))
-    members = each.select("node", F.explode("sketches").alias("bucket"))
+    """(node, label): the components that the verified pairs of different nodes make."""
+    each = nodes.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("copy").alias("copy"))
+    members = each.select("node", "copy", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    involved = stored(members.join(shared, "bucket").select("bucket", "node"), "buckets")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("node"), body.alias("text"))
-    texts = stored(rows.join(involved.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    involved = stored(members.join(shared, "bucket").select("bucket", "node", "copy"), "buckets")
+    # copies of a text are one before it is shuffled
+    bodies = docs.select(_copy(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
+    texts = stored(bodies.join(involved.select("copy", "node").distinct(), "copy").select("node", "text"), "texts")
     able = stored(_able(texts, similarity), "able")
-    left = stored(_open(involved.join(able, "node").select("bucket", *able.columns, F.col("node").alias("comp"))), "buckets")
-    found = tried = spark.createDataFrame([], "u binary, v binary")
-    labels = None
-    salts = 1
-    while not left.isEmpty():
-        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        able_to_lead = left if salts <= LEAD_BY_RARITY else _not_largest(left)
-        leaders = stored(able_to_lead.groupBy("bucket", salt).agg(F.min(F.struct("rarity", *(c for c in left.columns if c not in ("bucket", "rarity")))).alias("l")).select("bucket", "l"), "leaders")
-        led = leaders.select("bucket", F.col("l.node").alias("node"), F.lit(True).alias("leads"))
+    left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets")
+    discard(involved, able)
+    labels, tried, done = None, None, []
+    for leaders in LEADERS:
+        if left.isEmpty():
+            break
         m, l = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"l.{c}"))
-        # leaders meet each other once
-        new = (m("comp") != l("comp")) & (m("leads").isNull() | (l("node") < m("node"))) & _possible(m, l, similarity)
-        met = left.join(led, ["bucket", "node"], "left").alias("m").join(leaders, (F.col("m.bucket") == leaders["bucket"]) & new).select(l("node").alias("u"), m("node").alias("v"))
-        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        new = (m("comp") != l("comp")) & _possible(m, l, similarity)
+        rows = left.alias("m")
+        if leaders:
+            salt = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)).alias("salt")
+            head = left.groupBy("bucket", salt).agg(F.min(F.struct("rarity", *(c for c in left.columns if c not in ("bucket", "rarity")))).alias("l")).select("bucket", "l.*")
+            met = rows.join(head.alias("l"), (m("bucket") == l("bucket")) & new)
+        else:
+            met = rows.join(left.alias("l"), (m("bucket") == l("bucket")) & (m("node") < l("node")) & new)
+        # the node with fewer shingles of its own first: it is in most pairs of its group
+        first = F.struct(m("rarity"), m("node")) < F.struct(l("rarity"), l("node"))
+        pairs = met.select(F.when(first, m("node")).otherwise(l("node")).alias("u"), F.when(first, l("node")).otherwise(m("node")).alias("v")).distinct()
+        fresh = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs", narrow=True)
         linked = stored(_verify(fresh, texts, similarity), "links")
-        found, tried = found.unionByName(linked), tried.unionByName(fresh)
-        rest = left.join(led, ["bucket", "node"], "left_anti")  # a leader has met all others of its bucket
-        if labels is None:
-            labels = components(linked)
-        elif not linked.isEmpty():
-            labels = _joined(labels, linked)
-        rest = rest.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        left = stored(_open(rest), "buckets")
-        salts *= 8
-    return found
-
-
-def _not_largest(left: DataFrame) -> DataFrame:
-    """Rows of the buckets without those of each bucket's largest component."""
-    largest = left.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"))
-    return left.join(largest, "bucket").filter(F.col("comp") != F.col("most.comp")).drop("most")
+        before, labels = labels, components(linked) if labels is None else _joined(labels, linked)
+        if before is not None:
+            discard(before)
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if leaders:
+            rest = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+            after = stored(_open(rest), "buckets")
+            discard(left)
+            left = after
+        done += [fresh, linked]
+    discard(left, texts, *done)
+    return labels if labels is not None else docs.sparkSession.createDataFrame([], "node binary, label binary")
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels with the components that further edges connect made one."""
-    of = lambda c: edges_of.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}l")), c, "left").withColumn(c, F.coalesce(f"{c}l", c)).drop(f"{c}l")
-    nodes = labels.unionByName(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
-    edges_of = edges
-    edges_of = of("u")
-    joined = components(of("v").filter("u != v")).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return stored(nodes.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+    if edges.isEmpty():
+        return stored(labels, "labels", narrow=True)
+    named = edges
+    for c in ("u", "v"):
+        named = named.join(labels.select(F.col("node").alias(c), F.col("label").alias("l")), c, "left").withColumn(c, F.coalesce("l", c)).drop("l")
+    joined = components(named.filter("u != v").select("u", "v").distinct())
+    known = labels.unionByName(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    out = stored(known.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels", narrow=True)
+    discard(joined)
+    return out
 
 
 def _open(left: DataFrame) -> DataFrame:
@@ -257,38 +295,45 @@ def _open(left: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges is connected to."""
-    both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", narrow=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
         least = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        after = stored(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels", narrow=True)
+        discard(labels)
         labels = after.select("node", "label")
+        labels._stored_at = after._stored_at
         if after.filter(F.col("old") != F.col("label")).isEmpty():
+            discard(both)
             return labels
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, node, class_id): a row for each row of docs; node is the SHA-256 of the text."""
+    """(id, copy, node, class_id): a row for each row of docs; copy tells the text, node its folded words."""
     nodes = stored(nodes_of(docs, id_column, text), "nodes")
-    labels = components(links(docs, nodes, text, similarity))
-    own = nodes.select("id", "node")
-    least = own.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_class = least.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_node = least.join(of_class, "label").select("node", "class_id")
-    return own.join(by_node, "node").select(F.col("id").alias(id_column), "node", "class_id")
+    labels = links(docs, nodes, text, similarity)
+    own = nodes.select("id", "copy", "node")
+    least = own.groupBy("node").agg(F.min("id").alias("least"))
+    # each table that a large group of copies or a large class joins is written first, so that both sides of the join can be split
+    linked = stored(least.join(labels, "node"), "linked", narrow=True)
+    of_class = stored(linked.groupBy("label").agg(F.min("least").alias("class_id")), "classes", narrow=True)
+    by_node = linked.join(of_class, "label").select("node", "class_id")
+    named = stored(least.join(by_node, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id")), "named", narrow=True)
+    discard(linked, of_class, labels)
+    return own.join(named, "node").select(F.col("id").alias(id_column), "copy", "node", "class_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one row of each class: the one with the least id, of equal ids the one with the least text hash."""
     found = near_duplicates(docs, id_column, text, similarity)
     # without an id there is no class_id either: such a class is told by its nodes, of which at least one row stays
-    chosen = found.filter(F.col(id_column).eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("__id"), F.when(F.col("class_id").isNull(), F.col("node")).alias("__own")).agg(F.min("node").alias("__node")).drop("__own")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("__node", F.unhex(F.sha2(body.cast("binary"), 256))).withColumn("__id", F.col(id_column))
-    kept = rows.join(chosen, (rows["__node"] == chosen["__node"]) & rows["__id"].eqNullSafe(chosen["__id"]), "left_semi")
-    return kept.dropDuplicates(["__node", "__id"]).select(*docs.columns)
+    first = found.filter(F.col(id_column).eqNullSafe(F.col("class_id")))
+    chosen = first.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own")).agg(F.min("copy").alias("__copy")).select("__copy", F.struct(F.col("class_id").alias("id")).alias("__key"))
+    # a struct, so that null ids are equal and one exchange by (copy, id) serves the join and the removal of repeated rows
+    rows = docs.withColumns({"__copy": _copy(text), "__key": F.struct(F.col(id_column).alias("id"))})
+    return rows.join(chosen, ["__copy", "__key"], "left_semi").dropDuplicates(["__copy", "__key"]).select(*docs.columns)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
