@@ -5,11 +5,13 @@ word p and template word q votes for the diagonal p - q; votes are summed by (te
 template pairs seen, diagonals at most ``GAP`` apart are merged (words put in or left out), and a merged span is verified by
 the words themselves (hits compare words, not hashes alone), by the share of the template it covers and by its extent.
 
-The template side of the join is a constant of this module, so its broadcast is bounded. Each exploded text ends with one
-sentinel that carries the number of words, so one scan serves all columns, and only hits are shuffled.
+The template side of the join is a constant of this module, so its broadcast is bounded and its keys filter a text's pairs
+before these become rows. Each text ends with one sentinel that carries the number of words, so one scan serves all columns,
+and only hits are shuffled, as a few numbers and two words.
 
-Cases: a null or empty text has no words and no license; rows that agree in id and text are told apart by their number, each
-gives a row; null ids are kept; extra columns are ignored; an empty table gives an empty table.
+Cases: a null or empty text has no words and no license; a very long text is one row until its hits are found; rows that agree
+in id and text are told apart by their number, each gives a row; null ids are kept; extra columns, such as one named like a
+result, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases of public licenses. The first four are the base phrases; no template has more than 64 words.
@@ -56,11 +59,20 @@ def lower_ascii(text: Column) -> Column:
     return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
+def _pairs() -> list[tuple]:
+    """(t, q, first word, second word, words of the template, label, base) of each word pair of each template."""
+    return [(t, q, *phrase.split()[q : q + 2], len(phrase.split()), label, t < len(BASE)) for t, (phrase, label) in enumerate(TEMPLATES) for q in range(len(phrase.split()) - 1)]
+
+
+def _values() -> str:
+    return ", ".join(f"({t}, {q}, '{a}', '{b}', {n}, '{label}', {str(base).lower()})" for t, q, a, b, n, label, base in _pairs())
+
+
 def _places(spark) -> DataFrame:
-    rows = [(t, q, *phrase.split()[q : q + 2], len(phrase.split()), label, t < len(BASE)) for t, (phrase, label) in enumerate(TEMPLATES) for q in range(len(phrase.split()) - 1)]
-    places = spark.createDataFrame(rows, "t int, q int, w0 string, w1 string, t_words int, label string, base boolean")
-    end = spark.createDataFrame([(-1, 0, 0, SENTINEL)], "t int, q int, t_words int, hash long")
-    return places.withColumn("hash", F.xxhash64("w0", "w1")).unionByName(end, allowMissingColumns=True)
+    """A relation of literals, so no task and no Python stands behind it."""
+    places = spark.sql(f"SELECT *, xxhash64(w0, w1) AS hash FROM VALUES {_values()} AS p(t, q, w0, w1, t_words, label, base)")
+    end = spark.sql(f"SELECT -1 AS t, 0 AS q, 0 AS t_words, {SENTINEL}L AS hash")
+    return places.unionByName(end, allowMissingColumns=True)
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cover: float = COVER, gap: int = GAP) -> DataFrame:
@@ -68,14 +80,17 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cover:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = docs.select(
         F.col(id_column).alias("id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"),
-        F.regexp_extract_all(lower_ascii(body), F.lit(WORD), F.lit(0)).alias("words"),
+        F.array_remove(F.split(lower_ascii(body), BETWEEN, -1), "").alias("words"),  # regexp_extract_all() copies the text for each match
     )
-    pairs = words.withColumn("pairs", F.concat(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b)), F.array(F.lit(SENTINEL))))
-    # outer: for the inner form Catalyst infers a filter on the array's size and pushes it, with all the hashing, below
-    rolled = pairs.select("id", "k1", "k2", "words", F.posexplode_outer("pairs").alias("p", "hash"))
-    hits = rolled.join(F.broadcast(_places(docs.sparkSession)), "hash").filter(
-        F.when(F.col("t") < 0, F.col("p") == F.size("words")).otherwise((F.get("words", F.col("p")) == F.col("w0")) & (F.get("words", F.col("p") + 1) == F.col("w1")))
-    )
+    # the join's keys are constants, so the pairs that it would drop go before they are rows
+    some = F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in sorted({x[2:4] for x in _pairs()})])
+    known = docs.sparkSession.range(1).select(F.explode(some)).collect()  # as many as the templates have pairs
+    pair = lambda a, i: F.struct(i.alias("p"), F.xxhash64(a, F.get("words", i + 1)).alias("hash"))
+    rolled = words.select("id", "k1", "k2", "words", F.filter(F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), pair), lambda x: x["hash"].isin([r[0] for r in known])).alias("pairs"))
+    full = F.transform("pairs", lambda x: F.struct(x["p"].alias("p"), x["hash"].alias("hash"), F.get("words", x["p"]).alias("a"), F.get("words", x["p"] + 1).alias("b")))
+    end = F.array(F.struct(F.size("words").alias("p"), F.lit(SENTINEL).alias("hash"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    each = rolled.select("id", "k1", "k2", F.concat(full, end).alias("pairs")).select("id", "k1", "k2", F.inline_outer("pairs"))
+    hits = each.join(F.broadcast(_places(docs.sparkSession)), "hash").filter((F.col("t") < 0) | ((F.col("a") == F.col("w0")) & (F.col("b") == F.col("w1"))))
     key = ["id", "k1", "k2"]
     votes = hits.groupBy(*key, "t", "t_words", "label", "base", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q"))).alias("seen"), F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")
@@ -107,11 +122,6 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
-def _values() -> str:
-    rows = [(t, q, *phrase.split()[q : q + 2], len(phrase.split()), label, t < len(BASE)) for t, (phrase, label) in enumerate(TEMPLATES) for q in range(len(phrase.split()) - 1)]
-    return ", ".join(f"({t}, {q}, '{a}', '{b}', {n}, '{label}', {str(base).lower()})" for t, q, a, b, n, label, base in rows)
-
-
 OP1_SQL = rf"""
 WITH places(t, q, w0, w1, t_words, label, base) AS (VALUES {_values()}),
 docs AS (
