@@ -197,16 +197,6 @@ def g1_draws(spark, d):
     return M.sample(M.cell_moments(c, mu, cov, ["unit_id"]), c)
 
 
-@book.add("g2_engine_draws")
-def g2_draws(spark, d):
-    """Student draws under the multi-cell parameters."""
-    known = _known(spark, d)
-    mu, cov = _moments(known)
-    c = _cells_of(known)
-    p = M.DEFAULTS | M.MULTI
-    return M.sample(M.cell_moments(c, mu, cov, ["unit_id"], p["drift"], p["k"]), c, 1000, "student", p["nu"], p["mix_p"], p["mix_m"])
-
-
 @book.add("c23_seeds", f"{with_('cards')} SELECT unit_id, md5(unit_id) AS digest, sha256(unit_id) AS commitment FROM cards")
 def c23(spark, d):
     return cards(spark, d).select("unit_id", F.md5(F.col("unit_id").cast("binary")).alias("digest"), F.sha2(F.col("unit_id").cast("binary"), 256).alias("commitment"))
