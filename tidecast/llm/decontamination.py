@@ -9,8 +9,13 @@ benchmark costs passes, not memory.
 Words are runs of ASCII letters and digits and of all non-ASCII characters, in lower case. Short items
 are searched too, those of fewer than seven words without edits; only items of fewer than min_words words are not.
 
-Cases: null and empty texts or items match nothing; repeated rows give repeated results; null ids are kept; extra columns are
-ignored; of equally near places the first counts; an empty table gives an empty table.
+Results: distance is the least number of edits between the item and any run of the text's words; start_word and end_word are of
+the first run to end with it (the shortest of these); places counts runs within the budget from the left, each the earliest to
+end behind the one before.
+
+Cases: null and empty texts or items match nothing; a copy cut off at the start or end of a text counts the missing words as
+edits; very long texts are searched whole, around their hits; repeated rows give repeated results; null ids are kept; extra
+columns are ignored; of equally near places the first counts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, WORD_BY_ALNUM, Spans, as_bytes, fold, read, word_hashes
+from .common import U64, WORD_BY_ALNUM, Spans, as_bytes, fold, in_arrow, read, word_hashes
 
 PROBE = 5
 ERROR_RATE = 0.15
@@ -32,8 +37,9 @@ MIN_WORDS = 1
 BLOCK_WORDS = 1_000_000
 
 
-def myers(places: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
-    """Least edits between a pattern of n words and any run of text, and where the first such run ends (exclusive).
+def myers(places: dict[int, int], n: int, text: list[int], enough: int = -1) -> tuple[int, int]:
+    """Least edits between a pattern of n words and any run of text, and where the first such run ends (exclusive); stops at the
+    first run of at most `enough` edits.
 
     places: word -> bits of its places in the pattern."""
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -50,9 +56,22 @@ def myers(places: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
         vp, vn = hn | (full & ~(d0 | hp)), hp & d0
         if score < least:
             least, end = score, j + 1
+            if least <= enough:
+                break
     return least, end
 
 
+def _count(places: dict[int, int], n: int, text: list[int], budget: int) -> int:
+    """Runs of at most budget edits from the left, each the earliest to end behind the one before."""
+    found = 0
+    while text:
+        edits, end = myers(places, n, text, budget)
+        if edits > budget:
+            break
+        found, text = found + 1, text[max(1, end) :]
+    return found
+
+
 def _bits(words: list[int]) -> dict[int, int]:
     places: dict[int, int] = {}
     for i, w in enumerate(words):
@@ -105,18 +124,23 @@ class Items:
         out = []
         for i, at in guesses.items():
             _, size, budget, forward, backward = self.items[i]
-            best, places, covered = None, 0, -1
+            regions: list[list[int]] = []  # what copies at these guesses can reach, where it overlaps as one
             for guess in sorted(at):
-                if guess < covered:  # within the place found last
-                    continue
                 low, high = max(0, guess - budget), min(n, guess + size + budget)
+                if regions and low <= regions[-1][1]:
+                    regions[-1][1] = max(regions[-1][1], high)
+                else:
+                    regions.append([low, high])
+            best, places = None, 0
+            for low, high in regions:
                 window = h[low:high].tolist()
                 edits, end = myers(forward, size, window)
-                if edits <= budget:
+                if edits > budget:
+                    continue
+                places += _count(forward, size, window, budget)
+                if best is None or edits < best[0]:
                     _, length = myers(backward, size, window[:end][::-1])
-                    places, covered = places + 1, low + end
-                    if best is None or edits < best[0]:
-                        best = (edits, low + end - length, low + end)
+                    best = (edits, low + end - length, low + end)
             if best:
                 out.append((i, *best, places))
         return sorted(out)
@@ -156,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                 numbers = [pa.array([f[i] for f in found], pa.int32()) for i in range(2, 6)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), ids, *numbers], schema.names)
 
-        return rows.mapInArrow(apply, schema)
+        return in_arrow(rows, apply, schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, item_id, **options):
@@ -175,7 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             for batch in batches:
                 yield batch.filter(pa.array([not handle.value.search(x) for x in as_bytes(batch.column(at))], pa.bool_()))
 
-        return rows.mapInArrow(apply, docs.schema)
+        return in_arrow(rows, apply, docs.schema)
 
     for block in blocks(benchmark, item_id, **options):
         docs = clean(docs, block)
