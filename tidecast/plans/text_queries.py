@@ -27,13 +27,15 @@ DOC_SQL = "d AS (SELECT doc_id, text, lower(text) AS t FROM documents)"
 @book.add("c12_c13_tone", f"""WITH {DOC_SQL}, c AS (SELECT doc_id, {_count_sql('t', UPS)} AS u, {_count_sql('t', DOWNS)} AS w, {_count_sql('t', X.HAWKISH)} AS h, {_count_sql('t', X.DOVISH)} AS o, {_count_sql('t', X.POSITIVE)} AS p, {_count_sql('t', X.NEGATIVE)} AS n FROM d)
 SELECT doc_id, round((u - w) / (u + w + 1), 6) AS balance, round((h - o) / (h + o + 1), 6) AS tone, round((p - n) / (p + n + 1), 6) AS economy FROM c""")
 def c12(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", rounded(X.balance(t, UPS, DOWNS)).alias("balance"), rounded(X.balance(t, X.HAWKISH, X.DOVISH)).alias("tone"), rounded(X.balance(t, X.POSITIVE, X.NEGATIVE)).alias("economy"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = X.balances(docs, "text", balance=(UPS, DOWNS), tone=(X.HAWKISH, X.DOVISH), economy=(X.POSITIVE, X.NEGATIVE))
+    return found.select("doc_id", *[rounded(c).alias(c) for c in ("balance", "tone", "economy")])
 
 
 @book.add("c13_c14_density", f"""WITH {DOC_SQL} SELECT doc_id, round(1000.0 * {_count_sql('t', X.UNCERTAIN)} / greatest(len(regexp_extract_all(t, '[a-z]+')), 1), 6) AS uncertainty, round(100.0 * {_count_sql('t', UPS)} / greatest(len(regexp_extract_all(t, '[a-z]+')), 1), 6) AS density FROM d""")
 def c14(spark, d):
-    return table(spark, d, "documents").select("doc_id", rounded(X.per_words(F.col("text"), X.UNCERTAIN)).alias("uncertainty"), rounded(X.per_words(F.col("text"), UPS, 100.0)).alias("density"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    return docs.select("doc_id", rounded(X.per_words(F.col("t"), X.UNCERTAIN)).alias("uncertainty"), rounded(X.per_words(F.col("t"), UPS, 100.0)).alias("density"))
 
 
 PREV_SQL = "p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents)"
@@ -85,12 +87,6 @@ def s11(spark, d):
     return A.as_of_join(cards(spark, d), counts, [], "as_of", "newest", ["n"]).filter("n is not null").select("unit_id", "n", "newest")
 
 
-@book.add("s12_statements", rf"SELECT doc_id, md5(trim(regexp_replace(substr(text, 1, 8000), '\s+', ' ', 'g'))) AS digest FROM documents WHERE source = 'src3'")
-def s12(spark, d):
-    docs = table(spark, d, "documents").filter("source = 'src3'")
-    return docs.select("doc_id", F.md5(X.squeeze(F.substring("text", 1, 8000)).cast("binary")).alias("digest"))
-
-
 @book.add("s13_o3_newest_documents", f"{with_('cards', 'corpus')} SELECT unit_id, doc_id, timestamp FROM cards JOIN corpus ON timestamp <= as_of AND timestamp > as_of - 60 WHERE doc_type = 'src4' QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY timestamp DESC, doc_id DESC) <= 2", dates="timestamp")
 def s13(spark, d):
     """The newest two of each day first (a limit before the exchange), then the newest two days' rows as of each card."""
@@ -102,47 +98,6 @@ def s13(spark, d):
     return near.select("unit_id", "moment.doc_id", "moment.timestamp", "as_of").filter(F.col("timestamp") > F.date_sub("as_of", 60)).drop("as_of")
 
 
-@book.add("s14_head_and_tail", """SELECT doc_id, md5(CASE WHEN length(text) > 3000 THEN substr(text, 1, 2400) || '…' || right(text, 600) ELSE text END) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 10""")
-def s14(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id"))
-    cut = F.when(F.length("text") > 3000, F.concat(F.substring("text", 1, 2400), F.lit("…"), F.right(F.col("text"), F.lit(600)))).otherwise(F.col("text"))
-    return table(spark, d, "documents").withColumn("rn", F.row_number().over(w)).filter("rn <= 10").select("doc_id", F.md5(cut.cast("binary")).alias("digest"))
-
-
-@book.add("s16_html_text")
-def s16(spark, d):
-    """DuckDB's patterns have no back references; tests check this cleaner against Python's."""
-    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
-
-
-@book.add("s17_html_tables")
-def s17(spark, d):
-    """(page_id, place, cells): rows of the tables of a page."""
-    rows = F.regexp_extract_all("html", F.lit(r"(?s)<tr.*?</tr>"), F.lit(0))
-    return table(spark, d, "pages").select("page_id", F.posexplode(rows).alias("place", "row")).select("page_id", "place", F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<t[dh].*?>(.*?)</t[dh]>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))).alias("cells"))
-
-
-@book.add("c18_mask", r"""WITH t AS (SELECT o_orderkey, 'Paid on ' || strftime(o_orderdate, '%Y-%m-%d') || ' in ' || strftime(o_orderdate, '%B %Y') || ', Q2 ' || strftime(o_orderdate, '%Y') AS t FROM orders)
-SELECT o_orderkey, 'Paid on [DATE] in [MONTH] [YEAR], [PERIOD]' AS masked FROM t""")
-def c18(spark, d):
-    o = table(spark, d, "orders")
-    t = F.concat(F.lit("Paid on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(", Q2 "), F.date_format("o_orderdate", "yyyy"))
-    return o.select("o_orderkey", X.mask(t).alias("masked"))
-
-
-@book.add("c19_excerpts", """SELECT doc_id, md5(CASE source WHEN 'src1' THEN substr(text, greatest(strpos(text, 'the'), 1), 260) WHEN 'src2' THEN substr(text, 1, 280) ELSE substr(text, 1, 450) END) AS digest FROM documents""")
-def c19(spark, d):
-    cut = F.when(F.col("source") == "src1", F.substring(F.col("text"), F.greatest(F.instr("text", "the"), F.lit(1)), F.lit(260))).when(F.col("source") == "src2", F.substring("text", 1, 280)).otherwise(F.substring("text", 1, 450))
-    return table(spark, d, "documents").select("doc_id", F.md5(cut.cast("binary")).alias("digest"))
-
-
-@book.add("c20_c21_json", """SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events""")
-def c20(spark, d):
-    e = table(spark, d, "events")
-    reply = F.concat(F.lit("Here it is:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```\nDone."))
-    return e.select("event_id", F.get_json_object(X.first_object(reply), "$.k").cast("long").alias("k"))
-
-
 @book.add("c22_positions", f"{with_('draws')} SELECT draw, arg_max(cell, value) AS top_cell, count(*) FILTER (WHERE value > 0) AS positive FROM draws GROUP BY draw")
 def c22(spark, d):
     return draws(spark, d).groupBy("draw").agg(F.max_by("cell", "value").alias("top_cell"), F.count_if(F.col("value") > 0).alias("positive"))
@@ -157,37 +112,6 @@ def c24(spark, d):
     return c.select("c_custkey", "p.code", F.size("p.counts").alias("n_counts"))
 
 
-RELEASES = [
-    (1, "CONSUMER PRICE INDEX - MARCH 2024 The Consumer Price Index for All Urban Consumers (CPI-U) increased 0.4 percent in March on a seasonally adjusted basis. The index for all items less food and energy rose 0.4 percent in March."),
-    (2, "CONSUMER PRICE INDEX -- MAY 2024\nThe Consumer Price Index for All Urban Consumers (CPI-U) was unchanged in May on a seasonally adjusted basis. The index for all items less food and energy fell 0.2 percent."),
-    (3, "THE EMPLOYMENT SITUATION -- APRIL 2024 Total nonfarm payroll employment increased by 175,000 in April, and the unemployment rate changed little at 3.9 percent. The change for February was revised down by 34,000, from +270,000 to +236,000, and the change for March was revised up by 12,000, from +303,000 to +315,000."),
-    (4, "THE EMPLOYMENT SITUATION: APRIL 2020 Total nonfarm payroll employment fell by 20,500,000 in April, and the unemployment rate rose to 14.7 percent."),
-    (5, "A note on nothing in particular."),
-]
-
-
-@book.add("c17_releases", """SELECT * FROM (VALUES (1, 'cpi', '2024-03', 0.4, 0.4, NULL, NULL, NULL), (2, 'cpi', '2024-05', 0.0, -0.2, NULL, NULL, NULL), (3, 'empsit', '2024-04', NULL, NULL, 3.9, 175.0, -22.0), (4, 'empsit', '2020-04', NULL, NULL, 14.7, -20500.0, 0.0), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
-t(id, kind, ref, cpi_pct, core_pct, unemployment, payroll_change, payroll_revision)""".replace("SELECT *", "SELECT id, kind, ref, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in ("cpi_pct", "core_pct", "unemployment", "payroll_change", "payroll_revision"))))
-def c17(spark, d):
-    r = spark.createDataFrame(RELEASES, "id int, text string")
-    return r.select("id", *[c.alias(n) for n, c in X.release(F.col("text")).items()])
-
-
-@book.add("f18_plausible", """SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true), (6, false), (7, false)) t(id, ok)""")
-def f18(spark, d):
-    rows = [(1, "UNRATE", 14.7, 4.4, None, None, None), (2, "UNRATE", 44.0, 4.0, None, None, None), (3, "CPI_ALL", 310.0, 309.0, 0.4, None, None), (4, "CPI_CORE", 310.0, 309.0, 4.4, None, None), (5, "NFP", 131000.0, 151000.0, None, -20500.0, 10.0), (6, "NFP", 90000.0, 151000.0, None, -20500.0, 10.0), (7, "OTHER", 1.0, 1.0, None, None, None)]
-    r = spark.createDataFrame(rows, "id int, asset string, value double, last double, pct double, change double, revision double")
-    return r.select("id", X.plausible(*[F.col(c) for c in ("asset", "value", "last", "pct", "change", "revision")]).alias("ok"))
-
-
-@book.add("f19_m4_verify_quote", """SELECT * FROM (VALUES (1, NULL), (2, 'number'), (3, 'sign'), (4, 'not_verbatim'), (5, 'month'), (6, NULL), (7, 'jump'), (8, 'short')) t(id, fault)""")
-def f19(spark, d):
-    text = "In June, the index rose 0.3 percent after it fell 0.1 percent in May. The rate was 4.1 percent in June. It was unchanged in June at home."
-    rows = [(1, "pct_change", 0.3, "the index rose 0.3 percent", "2024-06", 100.0, 1.0), (2, "pct_change", 0.4, "the index rose 0.3 percent", "2024-06", 100.0, 1.0), (3, "pct_change", -0.3, "the index rose 0.3 percent", "2024-06", 100.0, 1.0), (4, "pct_change", 0.3, "the index gained 0.3 percent", "2024-06", 100.0, 1.0), (5, "pct_change", 0.3, "the index rose 0.3 percent", "2024-05", 100.0, 1.0), (6, "pct_change", 0.0, "It was unchanged in June", "2024-06", 100.0, 1.0), (7, "level", 4.1, "The rate was 4.1 percent", "2024-06", 4.0, 0.01), (8, "level", 4.1, "was 4.1", "2024-06", 4.0, 0.1)]
-    r = spark.createDataFrame(rows, "id int, kind string, value double, quote string, month string, last double, sd double")
-    return r.select("id", X.verify_quote(F.col("kind"), F.col("value"), F.col("quote"), F.lit(text), F.col("month"), F.lit("2024-06"), F.col("last"), F.col("sd")).alias("fault"))
-
-
 @book.add("f21_g13_fresh_prints", """WITH last AS (SELECT o_orderpriority AS asset, date_trunc('month', max(o_orderdate))::DATE AS m FROM orders GROUP BY 1), r AS (SELECT asset, m, k, (m + to_months(k::INTEGER))::DATE AS ref FROM last, range(1, 9) t(k) WHERE NOT (asset = '5-LOW' AND k = 3) AND NOT (asset = '2-HIGH' AND k = 1)),
 i AS (SELECT *, k - row_number() OVER (PARTITION BY asset ORDER BY ref) AS island FROM r) SELECT asset, ref, k AS steps_ahead FROM i WHERE island = 0""", dates="ref")
 def f21(spark, d):
@@ -199,26 +123,10 @@ def f21(spark, d):
     return r.filter("island = 0").select("asset", "ref", F.col("k").cast("long").alias("steps_ahead"))
 
 
-@book.add("g28_packets", """WITH d AS (SELECT source, doc_id, sum(least(length(text), 1500)) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS total FROM documents) SELECT source, count(*) AS docs, max(total)::BIGINT AS chars FROM d WHERE total <= 12000 GROUP BY source""")
-def g28(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
-    docs = table(spark, d, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(1500)).alias("size"))
-    return docs.withColumn("total", F.sum("size").over(w)).filter("total <= 12000").groupBy("source").agg(F.count("*").alias("docs"), F.max("total").alias("chars"))
-
-
-@book.add("g29_prompts", """WITH r AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS m, strftime(o_orderdate + to_months(1), '%Y-%m') AS n FROM orders ORDER BY md5(o_orderkey || '|29'), o_orderkey LIMIT 60)
-SELECT k, 'positive' AS label, m AS asked FROM r UNION ALL SELECT k, 'wrong_month', n FROM r WHERE k % 2 = 0 UNION ALL SELECT k, 'wrong_series', m FROM r WHERE k % 3 = 0""")
-def g29(spark, d):
-    o = table(spark, d, "orders").orderBy(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit("|29")).cast("binary")), "o_orderkey").limit(60)
-    r = o.select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("m"), F.date_format(F.add_months("o_orderdate", 1), "yyyy-MM").alias("n"))
-    part = lambda rows, label, c: rows.select("k", F.lit(label).alias("label"), F.col(c).alias("asked"))
-    return part(r, "positive", "m").unionByName(part(r.filter("k % 2 = 0"), "wrong_month", "n")).unionByName(part(r.filter("k % 3 = 0"), "wrong_series", "m"))
-
-
 @book.add("a39_g30_tone_validity", f"""{with_('corpus')}, s AS (SELECT timestamp, avg(({_count_sql('lower(text)', UPS)} - {_count_sql('lower(text)', DOWNS)}) / ({_count_sql('lower(text)', UPS)} + {_count_sql('lower(text)', DOWNS)} + 1)) AS tone FROM corpus WHERE doc_type < 'src2' GROUP BY 1),
 c AS (SELECT o_orderdate::DATE AS d, sum(((o_orderkey % 5) - 2) * 25) AS bp FROM orders GROUP BY 1), j AS (SELECT timestamp, any_value(tone) AS tone, coalesce(sum(bp), 0) AS ahead FROM s LEFT JOIN c ON d > timestamp AND d <= timestamp + 90 GROUP BY timestamp) SELECT count(*) AS n, round(corr(tone, ahead), 6) AS corr FROM j""")
 def a39(spark, d):
-    s = corpus(spark, d).filter("doc_type < 'src2'").groupBy("timestamp").agg(F.avg(X.balance(F.col("text"), UPS, DOWNS)).alias("tone"))
+    s = X.balances(corpus(spark, d).filter("doc_type < 'src2'"), "text", tone=(UPS, DOWNS)).groupBy("timestamp").agg(F.avg("tone").alias("tone"))
     c = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum((F.col("o_orderkey") % 5 - 2) * 25).alias("bp"))
     ahead = F.sum("bp").over(Window.orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(1, 90))  # a row a calendar day
     days = s.select(F.col("timestamp").alias("day"), "tone", F.lit(0).cast("long").alias("bp"), F.lit(True).alias("said")).unionByName(c.select(F.col("d").alias("day"), F.lit(None).cast("double").alias("tone"), "bp", F.lit(False).alias("said")))
