@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule looks at one text and may reject it. On a hashed sample of about ``sample_rows`` rows every rule's cost (CPU
-seconds) and selectivity (share rejected) are measured; the rules then run in the order of rejections per second, and the
-first rejection ends the cascade. The order changes the work only, never the verdict: a text is kept when no rule rejects it.
-
-Cases: a null text has no words; a text of no words fails ``min_words``; repeated rows, null ids and extra columns are left
-as they are; an empty table gives an empty table (rules then keep the order given).
+Each rule looks at figures of one text and may reject it. On a sample by hash of about ``sample_rows`` different texts the cost
+of each figure (CPU seconds) and the rules that reject each text are measured. The cascade is then built step by step: next
+comes the rule that rejects most of the sample's remaining texts per second of the figures that no rule before it has asked for.
+The first rejection ends the cascade; figures asked for besides are found after it, from what it left. The order changes the
+work only, never the verdict: a text is kept when no rule rejects it.
+
+Cases: a null text has no words; a text of no words fails ``min_words``; very long texts are judged whole; copies of a text count
+once in the sample; repeated rows, null ids and extra columns are left as they are, but a column named like a result is replaced;
+an empty table gives an empty table (rules then keep the order given).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BY_SPACE, as_bytes, read, shingles, word_hashes
+from .common import WORD_BY_SPACE, as_bytes, in_arrow, read, shingles, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -77,8 +80,11 @@ class Text:
 
 @dataclass(frozen=True)
 class Rule:
+    """figures: what rejects() asks a Text for, whatever it needs first in front."""
+
     name: str
     rejects: Callable[[Text], bool]
+    figures: tuple[str, ...] = ("words",)
 
 
 def _too_few(t: Text) -> bool:
@@ -89,44 +95,55 @@ def _repeats(t: Text) -> bool:
     return 100 * t.n_repeat_words > 50 * t.n_words
 
 
-BASE_RULES = (Rule("min_words", _too_few), Rule("repeated_windows", _repeats))
+BASE_RULES = (Rule("min_words", _too_few), Rule("repeated_windows", _repeats, ("words", "n_repeat_words")))
 RULES = (
     *BASE_RULES,
-    Rule("symbols", lambda t: 100 * t.n_symbols > 10 * t.n_words),
-    Rule("duplicate_lines", lambda t: t.n_dup_lines >= 5 and 100 * t.n_dup_lines > 30 * len(t.lines)),
-    Rule("shouting", lambda t: 100 * t.n_shouted > 40 * t.n_words),
-    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 14 * t.n_words),
+    Rule("symbols", lambda t: 100 * t.n_symbols > 10 * t.n_words, ("words", "n_symbols")),
+    Rule("duplicate_lines", lambda t: t.n_dup_lines >= 5 and 100 * t.n_dup_lines > 30 * len(t.lines), ("lines", "n_dup_lines")),
+    Rule("shouting", lambda t: 100 * t.n_shouted > 40 * t.n_words, ("words", "n_shouted")),
+    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 14 * t.n_words, ("words", "word_chars")),
 )
 
 
-def rule_statistics(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512) -> list[tuple[str, float, int, int]]:
-    """(name, CPU seconds, rejected, seen) of each rule over a sample by hash of about sample_rows rows."""
+def rule_statistics(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512) -> tuple[dict[str, float], dict[int, int]]:
+    """CPU seconds of each figure, and how many texts of the sample each set of rules rejects (bit i: rules[i])."""
+    figures = list(dict.fromkeys(f for r in rules for f in r.figures))
     n = docs.count()
     if not n:
-        return [(r.name, 0.0, 0, 0) for r in rules]
+        return dict.fromkeys(figures, 0.0), {}
     size = 1 << 40
-    sample = docs.select(F.col(text).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(size)) < F.lit(min(size, max(1, size * sample_rows // n))))
+    sample = docs.select(F.col(text).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(size)) < F.lit(min(size, max(1, size * sample_rows // n)))).distinct()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, gone, seen = [0.0] * len(rules), [0] * len(rules), 0
+        cost, masks = dict.fromkeys(figures, 0.0), {}
         for batch in batches:
             for x in as_bytes(batch.column(0)):
-                seen += 1
-                for i, rule in enumerate(rules):
+                t = Text(x)
+                for f in figures:
                     began = time.process_time()
-                    gone[i] += bool(rule.rejects(Text(x)))  # a fresh text: the cost of its figures counts
-                    cost[i] += time.process_time() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(cost), pa.array(gone, pa.int64()), pa.array([seen] * len(rules), pa.int64())], ["rule", "cost", "gone", "seen"])
-
-    rows = sample.mapInArrow(measure, "rule int, cost double, gone long, seen long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("gone").alias("gone"), F.sum("seen").alias("seen")).collect()  # one row a rule
-    by = {r.rule: r for r in rows}
-    return [(rule.name, by[i].cost, by[i].gone, by[i].seen) if i in by else (rule.name, 0.0, 0, 0) for i, rule in enumerate(rules)]
-
-
-def cascade_order(rules: Sequence[Rule], statistics: Sequence[tuple[str, float, int, int]]) -> list[Rule]:
-    """Most rejections per CPU second first; ties stay in the order given."""
-    worth = {name: gone / max(cost, 1e-9) for name, cost, gone, _ in statistics}
-    return sorted(rules, key=lambda r: -worth[r.name])
+                    getattr(t, f)
+                    cost[f] += time.process_time() - began
+                mask = sum(bool(r.rejects(t)) << i for i, r in enumerate(rules))
+                masks[mask] = masks.get(mask, 0) + 1
+        rows = [(f, None, c) for f, c in cost.items()] + [(None, m, float(k)) for m, k in masks.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["figure", "mask", "n"])
+
+    found = in_arrow(sample, measure, "figure string, mask long, n double").groupBy("figure", "mask").agg(F.sum("n").alias("n")).collect()  # figures and sets of rules
+    costs = dict.fromkeys(figures, 0.0) | {r.figure: r.n for r in found if r.figure}
+    return costs, {r.mask: int(r.n) for r in found if r.figure is None}
+
+
+def cascade_order(rules: Sequence[Rule], costs: dict[str, float], rejected: dict[int, int]) -> list[Rule]:
+    """Each time the rule with most rejections, among the texts that are left, per second that it adds; ties stay in the order given."""
+    left, found, order = dict(enumerate(rules)), set(), []
+    while left:
+        adds = {i: sum(costs.get(f, 0.0) for f in set(r.figures) - found) for i, r in left.items()}
+        gone = {i: sum(n for mask, n in rejected.items() if mask >> i & 1) for i in left}
+        best = max(left, key=lambda i: (gone[i] / max(adds[i], 1e-9), -i))
+        rejected = {mask: n for mask, n in rejected.items() if not mask >> best & 1}
+        found |= set(left[best].figures)
+        order.append(left.pop(best))
+    return order
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -136,7 +153,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", fi
     """docs with kept; with figures also the columns of FIGURES and base_failed. A column of docs with such a name is replaced."""
     added = [*(T.StructField(c, T.LongType()) for c in FIGURES), T.StructField("base_failed", T.BooleanType())] * figures + [T.StructField("kept", T.BooleanType())]
     docs = docs.drop(*[f.name for f in added if f.name != text])
-    order = cascade_order(rules, rule_statistics(docs, rules, text, sample_rows))
+    order = cascade_order(rules, *rule_statistics(docs, rules, text, sample_rows))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *added])
     names = schema.names
@@ -146,14 +163,14 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", fi
             kept, found, failed = [], [], []
             for x in as_bytes(batch.column(at)):
                 t = Text(x)
+                kept.append(not any(rule.rejects(t) for rule in order))
                 if figures:
                     found.append([getattr(t, c) for c in FIGURES])
                     failed.append(_too_few(t) or _repeats(t))
-                kept.append(not any(rule.rejects(t) for rule in order))
             columns = [pa.array(np.array(found, np.int64).reshape(-1, len(FIGURES))[:, i]) for i in range(len(FIGURES))] + [pa.array(failed, pa.bool_())] if figures else []
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(kept, pa.bool_())], names)
 
-    return docs.mapInArrow(apply, schema)
+    return in_arrow(docs, apply, schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
