@@ -1,13 +1,15 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest; DataFrame operations only.
 
 Features of a URL: length, host length, host labels, path depth, digit ratio, character entropy, hyphens, parameters, and the
-smoothed log-odds of blocked among labelled URLs of the same host suffix, path suffix and first path segment. The trees are
+smoothed log-odds of blocked among labelled URLs of the same host suffix, path suffix and first path segment. In training a URL
+gets the log-odds of the other folds (``FOLDS``, by hash), so its own label is not among its features. The trees are
 fitted on at most ``train_rows`` labelled URLs (the first by hash): each level of a tree is one aggregation of gradients by
 (node, feature, bin) in whole numbers, so sums do not depend on the order of rows, and only these histograms, of a size
 fixed by the parameters, come to the driver. Scoring is one CASE expression over all rows.
 
 Cases: a null URL or one without ``://`` has an empty host and path and no rule, and the model judges it by its features;
-without any labelled URL the model allows; repeated rows are judged alike; an empty table gives an empty table; a column of
+without any labelled URL the model allows; very long URLs are taken whole; repeated rows are judged alike (ties included: all
+sums are of whole numbers); null ids are kept; an empty table gives an empty table; a column of
 pages that bears the name of a result is replaced.
 """
 
@@ -28,6 +30,7 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 _PARTS = r"://([^/?#]*)([^?#]*)"
 STATISTICS = ("host_suffix", "path_suffix", "first_segment")
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "hyphens", "parameters", *STATISTICS)
+FOLDS = 5
 _UNIT = 1_000_000  # gradients are summed in millionths
 
 
@@ -85,15 +88,19 @@ class UrlModel:
         return sum((_tree(t) for t in self.trees), F.lit(self.prior))
 
     def featured(self, urls: DataFrame, url: str) -> DataFrame:
-        found = lexical(urls, url)
-        for k in STATISTICS:
-            if self.statistics is None:
-                found = found.withColumn(f"__{k}", F.lit(0.0))
-                continue
-            odds = self.statistics.filter(F.col("statistic") == k).select(F.col("key").alias(f"__{k}"), F.col("log_odds").alias("__odds"))
-            # at most train_rows keys of three kinds
-            found = found.join(F.broadcast(odds), f"__{k}", "left").withColumn(f"__{k}", F.coalesce("__odds", F.lit(0.0))).drop("__odds")
-        return found
+        return _with_odds(lexical(urls, url), self.statistics)
+
+
+def _with_odds(found: DataFrame, statistics: DataFrame | None, *also: str) -> DataFrame:
+    """found with the log-odds of its keys; also: further columns that both have."""
+    for k in STATISTICS:
+        if statistics is None:
+            found = found.withColumn(f"__{k}", F.lit(0.0))
+            continue
+        odds = statistics.filter(F.col("statistic") == k).select(F.col("key").alias(f"__{k}"), F.col("log_odds").alias("__odds"), *also)
+        # at most train_rows keys of three kinds
+        found = found.join(F.broadcast(odds), [f"__{k}", *also], "left").withColumn(f"__{k}", F.coalesce("__odds", F.lit(0.0))).drop("__odds")
+    return found
 
 
 def _tree(node) -> Column:
@@ -110,12 +117,16 @@ def fit(labelled: DataFrame, url: str = "url", blocked: str = "blocked", trees:
     n, ones = train.agg(F.count("*"), F.sum("y")).first()
     if not n:
         return UrlModel()
+    train = train.withColumn("__fold", F.pmod(F.xxhash64(F.lit(9), "url"), F.lit(FOLDS)))
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"__{k}").alias("key")) for k in STATISTICS]))
-    by_key = train.select(kinds.alias("s"), "y").groupBy("s.statistic", "s.key").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    by_fold = stored(train.select(kinds.alias("s"), "y", "__fold").groupBy("s.statistic", "s.key", "__fold").agg(F.sum("y").alias("a"), F.count("*").alias("n")), "url-counts", narrow=True)
     share = (ones + 1) / (n + 2)
-    log_odds = F.round(F.log((F.col("a") + 2 * share) / (F.col("n") - F.col("a") + 2 * (1 - share))) - math.log(share / (1 - share)), 6)
-    model = UrlModel(round(math.log(share / (1 - share)), 6), [], stored(by_key.select("statistic", "key", log_odds.alias("log_odds")), "url-suffixes"))
-    x = model.featured(train.select("url", "y"), "url").select("y", *[f"__{k}" for k in FEATURES])
+    prior = math.log(share / (1 - share))
+    log_odds = lambda a, n: F.round(F.log((a + 2 * share) / (n - a + 2 * (1 - share))) - prior, 6).alias("log_odds")
+    whole = by_fold.groupBy("statistic", "key").agg(F.sum("a").alias("all_a"), F.sum("n").alias("all_n"))
+    model = UrlModel(round(prior, 6), [], stored(whole.select("statistic", "key", log_odds(F.col("all_a"), F.col("all_n"))), "url-suffixes", narrow=True))
+    others = by_fold.join(whole, ["statistic", "key"]).select("statistic", "key", "__fold", log_odds(F.col("all_a") - F.col("a"), F.col("all_n") - F.col("n")))
+    x = _with_odds(train, others, "__fold").select("y", *[f"__{k}" for k in FEATURES])
     x = stored(x, "url-features")
     cuts_at = [i / bins for i in range(1, bins)]
     quantiles = x.agg(*[F.expr(f"percentile(`__{k}`, array({','.join(map(str, cuts_at))}))").alias(k) for k in FEATURES]).first()
