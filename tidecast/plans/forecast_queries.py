@@ -37,18 +37,18 @@ def j2(spark, d):
     return a.join(b, "date").filter("asset_a < asset_b").groupBy("asset_a", "asset_b").agg(F.count("*").alias("n"), rounded(F.when(F.count("*") >= 30, F.coalesce(F.corr("x", "y"), F.lit(0.0))).otherwise(0.0)).alias("corr"))
 
 
-@book.add("j3_cell_pairs", f"{with_('draws')} SELECT a.cell AS a, b.cell AS b, round(covar_samp(a.value, b.value), 6) AS cov FROM draws a JOIN draws b ON a.draw = b.draw AND a.cell < b.cell GROUP BY ALL")
+@book.add("j3_cell_pairs", f"{with_('draws')} SELECT a.cell AS a, b.cell AS b, round(covar_samp(a.value, b.value), 6) + 0.0 AS cov FROM draws a JOIN draws b ON a.draw = b.draw AND a.cell < b.cell GROUP BY ALL")
 def j3(spark, d):
     v = draws(spark, d)
     a, b = v.select("draw", F.col("cell").alias("a"), F.col("value").alias("x")), v.select("draw", F.col("cell").alias("b"), F.col("value").alias("y"))
-    return a.join(b, "draw").filter("a < b").groupBy("a", "b").agg(rounded(F.covar_samp("x", "y")).alias("cov"))
+    return a.join(b, "draw").filter("a < b").groupBy("a", "b").agg((rounded(F.covar_samp("x", "y")) + 0.0).alias("cov"))  # no negative zero
 
 
-@book.add("j4_as_of_documents", f"""{with_('cards', 'corpus')}, latest AS (SELECT doc_type, timestamp, max(doc_id) AS doc_id FROM corpus WHERE doc_type < 'src3' GROUP BY ALL), k AS (SELECT unit_id, as_of, doc_type FROM cards, (SELECT DISTINCT doc_type FROM latest))
+@book.add("j4_as_of_documents", f"""{with_('cards', 'corpus')}, latest AS (SELECT doc_type, timestamp, max(doc_id) AS doc_id FROM corpus GROUP BY ALL), k AS (SELECT unit_id, as_of, doc_type FROM cards, (SELECT DISTINCT doc_type FROM latest))
 SELECT unit_id, k.doc_type, timestamp, doc_id FROM k ASOF LEFT JOIN latest ON k.doc_type = latest.doc_type AND k.as_of >= latest.timestamp""", dates="timestamp")
 def j4(spark, d):
-    docs = corpus(spark, d).filter("doc_type < 'src3'").select("doc_type", "timestamp", "doc_id")
-    left = cards(spark, d).crossJoin(F.broadcast(docs.select("doc_type").distinct()))
+    docs = corpus(spark, d).select("doc_type", "timestamp", "doc_id")
+    left = cards(spark, d).withColumn("doc_type", F.explode(docs.agg(F.array_sort(F.collect_set("doc_type"))).scalar()))
     return A.as_of_join(left, docs, ["doc_type"], "as_of", "timestamp", ["doc_id"]).select("unit_id", "doc_type", "timestamp", "doc_id")
 
 
@@ -86,13 +86,20 @@ def j7(spark, d):
     return late.select("unit_id", "asset", "horizon", (zero("pos") - zero("pos0")).cast("long").alias("n"), rounded(zero("total") - zero("total0")).alias("total"))
 
 
-@book.add("j8_g25_policy_ranges", """WITH c AS (SELECT o_orderdate::DATE AS d, sum(((o_orderkey % 5) - 2) * 25) AS bp FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1)
+CHANGES_SQL = "c AS (SELECT o_orderdate::DATE AS d, sum(((o_orderkey % 5) - 2) * 25) AS bp FROM orders GROUP BY 1)"
+
+
+def rate_moves(spark, d) -> DataFrame:
+    """(d, bp): a change a day, by arithmetic on its orders."""
+    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum((F.col("o_orderkey") % 5 - 2) * 25).alias("bp"))
+
+
+@book.add("j8_policy_ranges", f"""WITH {CHANGES_SQL}
 SELECT d, sum(bp) OVER (ORDER BY d RANGE BETWEEN INTERVAL 180 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS trailing, coalesce(sum(bp) OVER (ORDER BY d RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 90 DAYS FOLLOWING), 0)::BIGINT AS leading FROM c""", dates="d")
 def j8(spark, d):
-    c = table(spark, d, "orders").filter("o_custkey % 10 = 0").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum((F.col("o_orderkey") % 5 - 2) * 25).alias("bp"))
     days = F.datediff("d", F.lit("1970-01-01").cast("date"))
     w = Window.orderBy(days)  # a row a calendar day
-    return c.select("d", F.sum("bp").over(w.rangeBetween(-180, 0)).alias("trailing"), F.coalesce(F.sum("bp").over(w.rangeBetween(1, 90)), F.lit(0)).alias("leading"))
+    return rate_moves(spark, d).select("d", F.sum("bp").over(w.rangeBetween(-180, 0)).alias("trailing"), F.coalesce(F.sum("bp").over(w.rangeBetween(1, 90)), F.lit(0)).alias("leading"))
 
 
 @book.add("j12_lookup", "SELECT r_name, count(*) AS n, round(sum(c_acctbal::DECIMAL(18,2))::DOUBLE, 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")

@@ -123,10 +123,10 @@ def f21(spark, d):
     return r.filter("island = 0").select("asset", "ref", F.col("k").cast("long").alias("steps_ahead"))
 
 
-@book.add("a39_g30_tone_validity", f"""{with_('corpus')}, s AS (SELECT timestamp, avg(({_count_sql('lower(text)', UPS)} - {_count_sql('lower(text)', DOWNS)}) / ({_count_sql('lower(text)', UPS)} + {_count_sql('lower(text)', DOWNS)} + 1)) AS tone FROM corpus WHERE doc_type < 'src2' GROUP BY 1),
+@book.add("a39_g30_tone_validity", f"""{with_('corpus')}, s AS (SELECT timestamp, avg(({_count_sql('lower(text)', UPS)} - {_count_sql('lower(text)', DOWNS)}) / ({_count_sql('lower(text)', UPS)} + {_count_sql('lower(text)', DOWNS)} + 1)) AS tone FROM corpus GROUP BY 1),
 c AS (SELECT o_orderdate::DATE AS d, sum(((o_orderkey % 5) - 2) * 25) AS bp FROM orders GROUP BY 1), j AS (SELECT timestamp, any_value(tone) AS tone, coalesce(sum(bp), 0) AS ahead FROM s LEFT JOIN c ON d > timestamp AND d <= timestamp + 90 GROUP BY timestamp) SELECT count(*) AS n, round(corr(tone, ahead), 6) AS corr FROM j""")
 def a39(spark, d):
-    s = X.balances(corpus(spark, d).filter("doc_type < 'src2'"), "text", tone=(UPS, DOWNS)).groupBy("timestamp").agg(F.avg("tone").alias("tone"))
+    s = X.balances(corpus(spark, d), "text", tone=(UPS, DOWNS)).groupBy("timestamp").agg(F.avg("tone").alias("tone"))
     c = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum((F.col("o_orderkey") % 5 - 2) * 25).alias("bp"))
     ahead = F.sum("bp").over(Window.orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(1, 90))  # a row a calendar day
     days = s.select(F.col("timestamp").alias("day"), "tone", F.lit(0).cast("long").alias("bp"), F.lit(True).alias("said")).unionByName(c.select(F.col("d").alias("day"), F.lit(None).cast("double").alias("tone"), "bp", F.lit(False).alias("said")))

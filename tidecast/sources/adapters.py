@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 HORIZONS = (21, 63, 126)
 CARD_EVERY = 63
-CELLS = 16
+CELLS = 64  # places of a vector
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,10 @@ def card_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(draw, cell, asset, horizon, value): the first CELLS places of all vectors but the last."""
+    """(draw, cell, asset, horizon, value): a draw for each vector but the last, a cell for each of its places."""
     e = table(spark, sf_dir, "embeddings")
     last = e.agg(F.max("vec_id").alias("last"))
-    ranked = e.crossJoin(F.broadcast(last)).filter("vec_id < last").select((F.col("vec_id")).alias("draw"), F.posexplode(F.slice("embedding", 1, CELLS)).alias("cell", "value"))
+    ranked = e.crossJoin(F.broadcast(last)).filter("vec_id < last").select((F.col("vec_id")).alias("draw"), F.posexplode("embedding").alias("cell", "value"))
     return ranked.select("draw", "cell", F.floor(F.col("cell") / 4).cast("int").alias("asset"), (F.col("cell") % 4).alias("horizon"), F.col("value").cast("double").alias("value"))
 
 
@@ -69,7 +69,7 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, y): the last vector."""
     e = table(spark, sf_dir, "embeddings")
     last = e.agg(F.max_by("embedding", "vec_id").alias("v"))
-    return last.select(F.posexplode(F.slice("v", 1, CELLS)).alias("cell", "y")).withColumn("y", F.col("y").cast("double"))
+    return last.select(F.posexplode("v").alias("cell", "y")).withColumn("y", F.col("y").cast("double"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ SQL = {
     "monthly": "monthly AS (SELECT o_orderpriority AS asset, date_trunc('month', o_orderdate)::DATE AS date, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders GROUP BY ALL)",
     "returns": "returns AS (SELECT asset, date, value / before - 1 AS value FROM (SELECT *, lag(value) OVER (PARTITION BY asset ORDER BY date) AS before FROM panel) WHERE before IS NOT NULL)",
     "cards": f"cards AS (SELECT 'card-' || as_of AS unit_id, as_of FROM (SELECT as_of, row_number() OVER (ORDER BY as_of) AS rn FROM (SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders)) WHERE rn % {CARD_EVERY} = 0)",
-    "draws": f"draws AS (SELECT draw, cell, cell // 4 AS asset, cell % 4 AS horizon, value FROM (SELECT vec_id AS draw, unnest(embedding[1:{CELLS}])::DOUBLE AS value, unnest(range({CELLS})) AS cell FROM embeddings WHERE vec_id < (SELECT max(vec_id) FROM embeddings)))",
-    "outcome": f"outcome AS (SELECT unnest(v[1:{CELLS}])::DOUBLE AS y, unnest(range({CELLS})) AS cell FROM (SELECT max_by(embedding, vec_id) AS v FROM embeddings))",
+    "draws": f"draws AS (SELECT draw, cell, cell // 4 AS asset, cell % 4 AS horizon, value FROM (SELECT vec_id AS draw, unnest(embedding)::DOUBLE AS value, unnest(range({CELLS})) AS cell FROM embeddings WHERE vec_id < (SELECT max(vec_id) FROM embeddings)))",
+    "outcome": f"outcome AS (SELECT unnest(v)::DOUBLE AS y, unnest(range({CELLS})) AS cell FROM (SELECT max_by(embedding, vec_id) AS v FROM embeddings))",
     "corpus": "corpus AS (SELECT doc_id, source AS doc_type, (DATE '1995-01-01' + ((doc_id * 7) % 2400)::INTEGER)::DATE AS timestamp, text FROM documents)",
 }
 
