@@ -97,6 +97,7 @@ def logistic(rows: DataFrame, features: list[str], label: str, c: float = 0.3, s
     """Ridge logistic regression by Newton steps on standardised features; each step is one aggregation of the k * k normal
     equations over all rows. Population sd, penalty 1 / (2c) on all but the intercept."""
     k = len(features)
+    rows = rows.select(*features, label).persist()  # read in each step; lost parts are found again from the lineage
     m = rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
     mean, scale = [m[f"m{i}"] for i in range(k)], [m[f"s{i}"] + 1e-9 for i in range(k)]
     x = [F.lit(1.0)] + [(F.col(f) - mean[i]) / scale[i] for i, f in enumerate(features)]
@@ -113,6 +114,7 @@ def logistic(rows: DataFrame, features: list[str], label: str, c: float = 0.3, s
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
+    rows.unpersist()
     return {"mean": mean, "scale": scale, "intercept": float(w[0]), "weights": [float(v) for v in w[1:]]}
 
 

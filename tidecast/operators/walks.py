@@ -70,6 +70,49 @@ def garch(x: np.ndarray, sweeps: int = 60) -> tuple[float, float, float]:
     return v * (1 - sum(best)), *best
 
 
+def garch_walk(history: np.ndarray, steps: list[int], n: int, key: str) -> np.ndarray:
+    """Each series by itself: steps about a first-order autoregression, their variance a GARCH(1,1) that goes on from the last step's."""
+    rng, out = np.random.default_rng(seed_of(key)), np.empty((n, history.shape[1], len(steps)))
+    for a, level in enumerate(history.T):
+        x = np.diff(level)
+        mean = x.mean()
+        before, after = x[:-1] - mean, x[1:] - mean
+        phi = float(np.clip(before @ after / max(before @ before, 1e-300), -0.95, 0.95))
+        e = np.append(x[0] - mean, after - phi * before)
+        omega, alpha, beta = garch(e)
+        h = e.var()
+        for shock in e:  # to the variance of the step to come
+            h = omega + alpha * shock * shock + beta * h
+        variance, step, path = np.full(n, h), np.full(n, x[-1] - mean), np.zeros((n, max(steps)))
+        for k in range(max(steps)):
+            shock = np.sqrt(variance) * rng.standard_normal(n)
+            step, variance = phi * step + shock, omega + alpha * shock * shock + beta * variance
+            path[:, k] = mean + step
+        out[:, a] = level[-1] + np.cumsum(path, axis=1)[:, np.array(steps) - 1]
+    return out
+
+
+def segment_walk(history: np.ndarray, steps: list[int], n: int, key: str, recent: float = 0.5, half_life: float = 21.0, revert: float = 63.0, drift: float = 0.5, tau: float = 0.2) -> np.ndarray:
+    """Joint walks that are drawn once for each stretch between two horizons. A step's variance goes from a blend of its recent and long-run
+    values to the long-run one with half-life revert; all of a draw is scaled by a log-normal number of mean square 1."""
+    x = np.diff(history, axis=0)
+    weight = 0.5 ** (np.arange(len(x))[::-1] / half_life)
+    long = x.var(axis=0)
+    now = recent * (weight @ x**2) / weight.sum() + (1 - recent) * long
+    phi = 0.5 ** (1 / revert)
+    until = lambda s: s * long + (now - long) * phi * (1 - phi**s) / (1 - phi)  # noqa: E731  variance of the first s steps
+    rng = np.random.default_rng(seed_of(key))
+    scale = np.exp(tau * rng.standard_normal(n) - tau * tau)
+    shape = nearest_correlation(np.atleast_2d(np.corrcoef(x, rowvar=False)) if x.shape[1] > 1 else np.ones((1, 1)))
+    root, out, path, before = factor(shape, 1e-12), np.empty((n, x.shape[1], len(steps))), np.zeros((n, x.shape[1])), 0
+    for s in sorted(set(steps)):
+        stretch = np.maximum(until(s) - until(before), 0.0)
+        path, before = path + (rng.standard_normal(path.shape) @ root.T) * np.sqrt(stretch), s
+        for i in np.flatnonzero(np.array(steps) == s):
+            out[:, :, i] = history[-1] + drift * s * x.mean(axis=0) + scale[:, None] * path
+    return out
+
+
 def forecast(histories: DataFrame, forecaster: Callable[[np.ndarray, list[int], int, str], np.ndarray], n_draws: int = 500) -> DataFrame:
     """Draws of any forecaster for histories (unit_id, asset, date, value, horizons): a card's dates that all its assets have, in one group."""
 

@@ -223,18 +223,6 @@ def g15(spark, d):
     return M.widen(draws(spark, d), F.least(1 + 0.08 * F.col("horizon"), F.lit(1.15)), ["cell"], 0.1).select("draw", "cell", rounded("value").alias("value"))
 
 
-COIN_SQL = "('0x' || substr(md5('coin|' || cell), 1, 8))::BIGINT / 4294967296.0 < 0.75"
-
-
-@book.add("g16_oracle_shift", f"{with_('draws', 'outcome')}, w AS (SELECT draws.*, y, avg(value) OVER (PARTITION BY cell) AS m, stddev_pop(value) OVER (PARTITION BY cell) AS sd FROM draws JOIN outcome USING (cell)) SELECT draw, cell, round(value + CASE WHEN {COIN_SQL} THEN 1 ELSE -1 END * sign(y - m) * 0.25 * sd, 6) AS value FROM w")
-def g16(spark, d):
-    """A shift towards the outcome by a coin that is right three times in four."""
-    v = draws(spark, d).join(F.broadcast(outcome(spark, d)), "cell")
-    right = F.when(I.uniform(F.lit("coin"), F.col("cell")) < 0.75, 1).otherwise(-1)
-    side = F.signum(F.col("y") - F.avg("value").over(Window.partitionBy("cell")))
-    return M.overlay(v, right * side * 0.25, ["cell"]).select("draw", "cell", rounded("value").alias("value"))
-
-
 @book.add("g10_common_random_numbers", f"{with_('draws')}, w AS (SELECT *, avg(value) OVER (PARTITION BY cell) AS m FROM draws) SELECT draw, cell, round(0.1 + 0.5 * (m - 0.1) + 0.95 * (value - m), 6) AS value FROM w")
 def g10(spark, d):
     return M.random_number_transform(draws(spark, d).withColumn("anchor", F.lit(0.1)), ["cell"], 0.5, 0.95).select("draw", "cell", rounded("value").alias("value"))

@@ -112,17 +112,6 @@ def c24(spark, d):
     return c.select("c_custkey", "p.code", F.size("p.counts").alias("n_counts"))
 
 
-@book.add("f21_g13_fresh_prints", """WITH last AS (SELECT o_orderpriority AS asset, date_trunc('month', max(o_orderdate))::DATE AS m FROM orders GROUP BY 1), r AS (SELECT asset, m, k, (m + to_months(k::INTEGER))::DATE AS ref FROM last, range(1, 9) t(k) WHERE NOT (asset = '5-LOW' AND k = 3) AND NOT (asset = '2-HIGH' AND k = 1)),
-i AS (SELECT *, k - row_number() OVER (PARTITION BY asset ORDER BY ref) AS island FROM r) SELECT asset, ref, k AS steps_ahead FROM i WHERE island = 0""", dates="ref")
-def f21(spark, d):
-    """Releases in an unbroken run of months from the panel's last: an island of month less row number."""
-    last = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset")).agg(F.trunc(F.max("o_orderdate"), "MM").alias("m"))
-    r = last.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).filter("not (asset = '5-LOW' and k = 3) and not (asset = '2-HIGH' and k = 1)").withColumn("ref", F.add_months("m", F.col("k")))
-    months = F.months_between("ref", "m").cast("int")
-    r = r.withColumn("island", months - F.row_number().over(Window.partitionBy("asset").orderBy("ref")))
-    return r.filter("island = 0").select("asset", "ref", F.col("k").cast("long").alias("steps_ahead"))
-
-
 @book.add("a39_g30_tone_validity", f"""{with_('corpus')}, s AS (SELECT timestamp, avg(({_count_sql('lower(text)', UPS)} - {_count_sql('lower(text)', DOWNS)}) / ({_count_sql('lower(text)', UPS)} + {_count_sql('lower(text)', DOWNS)} + 1)) AS tone FROM corpus GROUP BY 1),
 c AS (SELECT o_orderdate::DATE AS d, sum(((o_orderkey % 5) - 2) * 25) AS bp FROM orders GROUP BY 1), j AS (SELECT timestamp, any_value(tone) AS tone, coalesce(sum(bp), 0) AS ahead FROM s LEFT JOIN c ON d > timestamp AND d <= timestamp + 90 GROUP BY timestamp) SELECT count(*) AS n, round(corr(tone, ahead), 6) AS corr FROM j""")
 def a39(spark, d):
