@@ -167,9 +167,6 @@ def test_files(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    d = spark.createDataFrame([("u", 0, 1.0), ("v", 0, 2.0)], "unit_id string, draw int, value double")
-    files.write_draws(d, str(tmp_path / "draws"))
-    assert spark.read.parquet(str(tmp_path / "draws")).count() == 2
     files.write_results(spark.createDataFrame([("u", 1.0)], "unit_id string, score double"), str(tmp_path / "out"))
     assert os.path.isdir(tmp_path / "out" / "details")
     lines = [json.loads(x) for f in (tmp_path / "out" / "scores").glob("*.json") for x in f.read_text().splitlines()]

@@ -7,7 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidecast.operators import walks as W
+from tidecast.sources import files
+from tidecast.sources import sinks as K
 from tidecast.sources import units as U
 from tidecast.sources.files import Refused
 from tidecast.streaming import events as E
@@ -49,8 +53,60 @@ def test_scales_and_evidence(spark, tmp_path):
     (tmp_path / "u2" / "ref_scale.json").write_text(json.dumps({"marginal": -1, "tail": 0.5}))
     with pytest.raises(Refused):
         U.verified_scales(spark, pattern, roster, expected)
-    assert U.with_evidence(spark, pattern, lambda: roster)[1]
-    assert not U.with_evidence(spark, pattern, lambda: (tmp_path / "u2" / "ref_scale.json").write_text("{}"))[1]
+
+
+def test_evidence_is_staged_scored_twice_and_compared(spark, tmp_path):
+    for k in ("u1", "u2"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "ref_scale.json").write_text(json.dumps({"marginal": 1.5, "unit": k}))
+    pattern, score = str(tmp_path / "*" / "ref_scale.json"), lambda p: spark.read.json(p).select("unit", "marginal")
+    rows, found = U.with_evidence(spark, pattern, str(tmp_path / "a" / "stage"), score)
+    assert found.sound and found.files == 2 and not found.rankable and {r.unit for r in rows.collect()} == {"u1", "u2"}
+    copies = list((tmp_path / "a" / "stage").glob("*/ref_scale.json"))
+    assert len(copies) == 2 and all(c.stat().st_mode & 0o222 == 0 for c in copies)
+
+    def meddle(p):
+        (tmp_path / "u2" / "ref_scale.json").write_text("{}")
+        return score(p)
+
+    _, found = U.with_evidence(spark, pattern, str(tmp_path / "b" / "stage"), meddle)
+    assert found.source_changed == 2 and not found.copies_changed and not found.sound
+    runs = []
+    _, found = U.with_evidence(spark, pattern, str(tmp_path / "c" / "stage"), lambda p: runs.append(p) or spark.range(len(runs)))
+    assert found.rows_differ == 1 and not found.sound
+
+
+def test_forecasts_are_written_with_sidecar_and_rationale(spark, tmp_path):
+    draws = spark.createDataFrame([(u, i, a, 5, float(i), "engine") for u in ("u", "v") for i in range(5) for a in ("x", "y")], "unit_id string, draw int, asset string, horizon int, value double, method string")
+    cards = spark.createDataFrame([("u", datetime.date(2020, 1, 1), "level"), ("v", datetime.date(2020, 1, 2), "level")], "unit_id string, as_of date, target string")
+    notes = spark.createDataFrame([("v", "A release moved the anchor.")], "unit_id string, note string")
+    K.write_forecasts(draws, cards, str(tmp_path / "out"), notes)
+    assert spark.read.parquet(str(tmp_path / "out" / "draws")).groupBy("unit_id").count().collect()[0]["count"] == 10
+    meta = json.loads(next((tmp_path / "out" / "meta" / "unit_id=u").glob("*.txt")).read_text())
+    assert meta == {"unit_id": "u", "asof": "2020-01-01", "representation": "samples", "asset_ids": ["x", "y"], "horizons": [5], "n_draws": 5, "target": "level", "rationale": {"file": "forecast_rationale.md"}}
+    text = next((tmp_path / "out" / "rationale" / "unit_id=v").glob("*.txt")).read_text()
+    assert "| x | 5 | 0.200000 | 2.00000 | 3.80000 |" in text and "A release moved the anchor." in text and "Method: engine." in text
+    assert (tmp_path / "out" / "draws").stat().st_mode & 0o777 == 0o755 and next((tmp_path / "out" / "draws").rglob("*.parquet")).stat().st_mode & 0o777 == 0o644
+    with pytest.raises(Exception):
+        K.write_forecasts(draws, cards, str(tmp_path / "out"))
+
+
+def test_dumps_and_caches(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1, 2]), (2, None)], "k int, v array<int>")
+    K.write_dumps(df, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d" / "parquet")).count() == 2 and spark.read.json(str(tmp_path / "d" / "json")).filter("size(v) = 2").count() == 1
+    assert {r.v for r in spark.read.option("header", True).csv(str(tmp_path / "d" / "csv")).collect()} == {"[1,2]", None}
+    built = []
+    for _ in range(2):
+        assert K.cached(spark, str(tmp_path / "c"), lambda: built.append(1) or df).count() == 2
+    assert len(built) == 1
+
+
+def test_footers(spark, tmp_path):
+    spark.range(1000).withColumn("b", F.lit("x")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    facts = files.inspect_parquet(spark, str(tmp_path / "p")).first()
+    assert (facts.n_rows, facts.n_columns, facts.row_groups, facts.fault) == (1000, 2, 1, None) and facts.uncompressed > 0
+    assert [files.inspect_parquet(spark, str(tmp_path / "p"), **m).first().fault for m in ({"max_rows": 9}, {"max_columns": 1}, {"max_row_groups": 0}, {"max_bytes": 9})] == ["rows", "columns", "row_groups", "bytes"]
 
 
 def test_results(spark, tmp_path):

@@ -216,12 +216,17 @@ def f20(spark, d):
     return table(spark, d, "customer").select("c_custkey", fault.alias("fault"))
 
 
-@book.add("s4_s5_exact_rows", "SELECT 'orders' AS name, count(*) AS n_rows, 9 > 0 AS has_columns, count(*) = (SELECT count(*) FROM orders) AS exact FROM orders")
+@book.add("s4_s5_exact_rows", """SELECT t.name, n AS n_rows, c AS n_columns, n AS counted, CASE WHEN n > 1000 THEN 'rows' WHEN c > 6 THEN 'columns' END AS fault FROM
+(SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'nation', count(*) FROM nation) t JOIN (SELECT table_name AS name, count(*) AS c FROM information_schema.columns GROUP BY 1) i ON t.name = i.name""")
 def s45(spark, d):
     from ..sources.files import inspect_parquet
 
-    facts = inspect_parquet(spark, f"{d}/orders.parquet")
-    return facts.select(F.lit("orders").alias("name"), "n_rows", (F.col("n_columns") > 0).alias("has_columns"), (F.col("n_rows") == table(spark, d, "orders").count()).alias("exact"))
+    out = None
+    for name in ("orders", "lineitem", "nation"):
+        facts = inspect_parquet(spark, f"{d}/{name}.parquet", max_rows=1000, max_columns=6)
+        one = facts.agg(F.sum("n_rows").alias("n_rows"), F.max("n_columns").cast("long").alias("n_columns"), F.max("fault").alias("fault")).crossJoin(table(spark, d, name).agg(F.count("*").alias("counted"))).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("name", "n_rows", "n_columns", "counted", "fault")
 
 
 @book.add("s6_exact_columns", "SELECT count(*) AS n, round(sum(c_acctbal::DECIMAL(18,2))::DOUBLE, 2) AS total FROM customer")

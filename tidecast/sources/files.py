@@ -18,12 +18,21 @@ class Refused(ValueError):
     """A file that breaks a ceiling or a rule."""
 
 
-def inspect_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """(n_rows, n_columns, n_files, n_bytes): rows from the footers, as a count without columns reads nothing else."""
-    df = spark.read.parquet(path)
-    n = df.count()
-    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
-    return files.agg(F.lit(n).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.count("*").alias("n_files"), F.sum("s").alias("n_bytes"))
+def inspect_parquet(spark: SparkSession, path: str, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS, max_row_groups: int = MAX_ROW_GROUPS, max_bytes: int = PARQUET_BYTES) -> DataFrame:
+    """(file, n_rows, n_columns, row_groups, uncompressed, fault) of each Parquet file of a path: nothing but footers is read, by the driver and from
+    any file system of the cluster; fault names the first ceiling that a file breaks."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for file in sorted(spark.read.parquet(path).inputFiles()):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        try:
+            blocks, schema = reader.getFooter().getBlocks(), reader.getFooter().getFileMetaData().getSchema()
+            facts = (sum(b.getRowCount() for b in blocks), schema.getFieldCount(), len(blocks), sum(b.getTotalByteSize() for b in blocks))
+        finally:
+            reader.close()
+        limits = (("rows", max_rows), ("columns", max_columns), ("row_groups", max_row_groups), ("bytes", max_bytes))
+        rows.append((file, *facts, next((name for (name, most), n in zip(limits, facts, strict=True) if n > most), None)))
+    return spark.createDataFrame(rows, "file string, n_rows long, n_columns int, row_groups int, uncompressed long, fault string")
 
 
 def footer(path: str, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS, max_row_groups: int = MAX_ROW_GROUPS) -> dict:
@@ -66,11 +75,6 @@ def has_text(text: Column) -> Column:
     return F.length(F.trim(F.coalesce(text, F.lit("")))) > 0
 
 
-def write_draws(draws: DataFrame, path: str, key: str = "unit_id") -> None:
-    """Draws as Parquet, a folder for each forecast."""
-    draws.write.mode("errorifexists").partitionBy(key).parquet(path)
-
-
 def write_results(rows: DataFrame, path: str) -> None:
     """Scores as JSON lines in one folder, and the failures in another, which exists even when there are none."""
     rows.filter("score is not null").write.mode("overwrite").json(f"{path}/scores")

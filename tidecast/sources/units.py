@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import glob
-import hashlib
 import os
 import tomllib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +71,13 @@ def digests(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def commitment(pairs: DataFrame, handle: str = "handle", digest: str = "sha256") -> str:
-    """One SHA-256 over all handles with their digests, in the order of handles."""
-    rows = sorted((r[0], r[1]) for r in pairs.select(handle, digest).collect())  # a line a unit of the roster
-    return hashlib.sha256("".join(f"{a}={b}\n" for a, b in rows).encode()).hexdigest()
+    """One SHA-256 over all handles with their digests: of the digests of 256 buckets, each over its lines in the order of handles. Only the
+    last one comes to the driver."""
+    line = F.concat(F.col(handle), F.lit("="), F.coalesce(F.col(digest), F.lit("")), F.lit("\n"))
+    buckets = pairs.select(F.substring(F.sha2(F.col(handle).cast("binary"), 256), 1, 2).alias("b"), F.struct(F.col(handle).alias("h"), line.alias("line")).alias("x")).groupBy("b").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    each = buckets.select("b", F.sha2(F.array_join(F.transform("xs", lambda x: x["line"]), "").cast("binary"), 256).alias("d"))
+    whole = each.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("all"))
+    return whole.select(F.sha2(F.array_join(F.transform("all", lambda x: F.concat(x["b"], x["d"])), "").cast("binary"), 256).alias("d")).first().d
 
 
 def verified_scales(spark: SparkSession, pattern: str, roster: DataFrame, expected: str) -> DataFrame:
@@ -91,8 +95,52 @@ def verified_scales(spark: SparkSession, pattern: str, roster: DataFrame, expect
     return rows.select("handle", *SCALE_KEYS[:3])
 
 
-def with_evidence(spark: SparkSession, pattern: str, score: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """The rows of score() and whether the files of pattern were the same before and after; such a run is never ranked if not."""
-    before = {tuple(r) for r in digests(spark, pattern).collect()}
-    rows = score()
-    return rows, before == {tuple(r) for r in digests(spark, pattern).collect()}
+def stage(spark: SparkSession, pattern: str, folder: str) -> DataFrame:
+    """(path, sha256, copy): the files of pattern copied under folder, each in a folder of its digest, and set to be read only. Copying is the file
+    system's own; a staged copy with another digest than its source's is an error."""
+    context = spark.sparkContext
+    fs, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+    rows = [(r.path, r.sha256, f"{folder}/{r.sha256}/{r.path.rsplit('/', 1)[-1]}") for r in digests(spark, pattern).toLocalIterator()]
+    for path, _, copy in rows:
+        a, b = fs.Path(path), fs.Path(copy)
+        fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+        b.getFileSystem(conf).setPermission(b, fs.permission.FsPermission("444"))
+    staged = spark.createDataFrame(rows, "path string, sha256 string, copy string")
+    if changed(staged.select("copy", "sha256"), digests(spark, f"{folder}/*/*").select(F.col("path").alias("copy"), "sha256")):
+        raise Refused(f"{folder}: a staged copy differs from its source")
+    return staged
+
+
+def changed(before: DataFrame, after: DataFrame) -> int:
+    """How many rows (name, sha256) only one side has; names without their scheme."""
+    plain = lambda df: df.select(F.regexp_replace(df.columns[0], "^file:/+", "/").alias("name"), "sha256")
+    a, b = plain(before), plain(after)
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What an evidence-chain run found; such a run is never ranked, whatever it found."""
+
+    files: int
+    source_changed: int
+    copies_changed: int
+    rows_differ: int
+    rankable: bool = False
+
+    @property
+    def sound(self) -> bool:
+        return not (self.source_changed or self.copies_changed or self.rows_differ)
+
+
+def with_evidence(spark: SparkSession, pattern: str, folder: str, score: Callable[[str], DataFrame]) -> tuple[DataFrame, Evidence]:
+    """The rows that score() gives of read-only copies, scored twice, with what was found: files changed at the source or among the copies while
+    it ran, and rows that the second run gave differently."""
+    before = stage(spark, pattern, folder)
+    copies = f"{folder}/*/*"
+    first = score(copies).persist()
+    n_first = first.count()
+    second = score(copies)
+    differ = first.exceptAll(second).count() + abs(second.count() - n_first)
+    after = digests(spark, pattern)
+    return first, Evidence(before.count(), changed(before.select("path", "sha256"), after), changed(before.select("copy", "sha256"), digests(spark, copies)), differ)
