@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, discard, filter_bits, fold, in_arrow, mix, read, shingles, stored, word_hashes
+from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, discard, few_files, filter_bits, fold, in_arrow, mix, read, shingles, stored, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,6 +47,7 @@ SHORT = 25
 PARITIES = 512
 LEADERS = (1, 8, None)  # of a bucket, by round; None: all
 CHUNKS = 4096
+SKETCH_CELLS = 1 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -78,17 +79,19 @@ def sketches(words: np.ndarray) -> np.ndarray:
 
 
 def _sketches(runs: np.ndarray, least: int, kind: int) -> np.ndarray:
-    out, m = np.empty(SKETCHES, U64), min(least, len(runs))
-    for k, seed in enumerate(_SEEDS):
-        h = (runs ^ seed) * U64(0xD6E8FEB86659FD93)
+    """All seeds at once, as far as SKETCH_CELLS numbers go."""
+    m, step = min(least, len(runs)), max(1, SKETCH_CELLS // len(runs))
+    out = np.empty(SKETCHES, U64)
+    for k in range(0, SKETCHES, step):
+        h = (runs[None, :] ^ _SEEDS[k : k + step, None]) * U64(0xD6E8FEB86659FD93)
         h ^= h >> U64(32)
         h *= U64(0xD6E8FEB86659FD93)
-        at = np.sort(np.argpartition(h, m - 1)[:m])  # in text order
-        value = U64(kind + k + 1)
-        for r in runs[at].tolist():
-            value = U64((int(value) * 0x9E3779B97F4A7C15 + r) & (1 << 64) - 1)
+        at = np.sort(np.argpartition(h, m - 1, axis=1)[:, :m], axis=1)  # in text order
+        value = np.arange(kind + k + 1, kind + k + len(h) + 1).astype(U64)
+        for column in runs[at].T:
+            value = value * U64(0x9E3779B97F4A7C15) + column
             value ^= value >> U64(29)
-        out[k] = value
+        out[k : k + step] = value
     return out
 
 
@@ -234,12 +237,12 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
     each = nodes.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("copy").alias("copy"))
     members = each.select("node", "copy", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    involved = stored(members.join(shared, "bucket").select("bucket", "node", "copy"), "buckets")
+    involved = stored(members.join(shared, "bucket").select("bucket", "node", "copy"), "buckets", narrow=True)
     # copies of a text are one before it is shuffled
     bodies = docs.select(_copy(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
     texts = stored(bodies.join(involved.select("copy", "node").distinct(), "copy").select("node", "text"), "texts")
-    able = stored(_able(texts, similarity), "able")
-    left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets")
+    able = stored(_able(texts, similarity), "able", narrow=True)
+    left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets", narrow=True)
     discard(involved, able)
     labels, tried, done = None, None, []
     for leaders in LEADERS:
@@ -258,14 +261,14 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
         first = F.struct(m("rarity"), m("node")) < F.struct(l("rarity"), l("node"))
         pairs = met.select(F.when(first, m("node")).otherwise(l("node")).alias("u"), F.when(first, l("node")).otherwise(m("node")).alias("v")).distinct()
         fresh = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs", narrow=True)
-        linked = stored(_verify(fresh, texts, similarity), "links")
+        linked = stored(_verify(fresh, texts, similarity), "links", narrow=True)
         before, labels = labels, components(linked) if labels is None else _joined(labels, linked)
         if before is not None:
             discard(before)
         tried = fresh if tried is None else tried.unionByName(fresh)
         if leaders:
             rest = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-            after = stored(_open(rest), "buckets")
+            after = stored(_open(rest), "buckets", narrow=True)
             discard(left)
             left = after
         done += [fresh, linked]
@@ -337,4 +340,4 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sim
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return few_files(near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id"))
