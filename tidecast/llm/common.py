@@ -48,7 +48,7 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
     narrow: rows of a few numbers, written in at most four files for each core of the cluster."""
     if narrow:
-        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+        df = few_files(df)
     path = f"{scratch_dir(df.sparkSession)}/tidecast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -56,6 +56,11 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers in at most four partitions for each core of the cluster; each written file costs the file system a round trip or more."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes what stored() wrote for these; nothing that is still to run may read them."""
     for df in frames:
@@ -149,6 +154,10 @@ class Spans:
     def of(self, start: np.ndarray, length: int) -> np.ndarray:
         return mix((self._total[start + length] - self._total[start]) * self._down[start] + U64(length))
 
+    def each(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """As of(), with a length for each start."""
+        return mix((self._total[start + length] - self._total[start]) * self._down[start] + length.astype(U64))
+
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; of all words where there are fewer; nothing for no words."""
