@@ -10,8 +10,8 @@ So a row's pieces are the same on any cluster, in any order and after any retry.
 A space is written as the model's space mark, and one is put before the text, as the model does; a literal mark becomes bytes.
 Decoding joins the pieces' bytes and takes that one space off: it returns every text as it was.
 
-Cases: a null text has null pieces and decodes to null; an empty text has the pieces of the leading space; repeated rows get
-equal pieces; null keys share one seed; other columns stay (a column named like the result is replaced); an empty table gives
+Cases: a null text has null pieces and decodes to null; an empty text has the pieces of the leading space; very long texts are
+taken in parts of a batch, very long words one by one; repeated rows get equal pieces; null keys share one seed; other columns stay (a column named like the result is replaced); an empty table gives
 an empty table. Piece ids that the vocabulary lacks are an error in decoding.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, read
+from .common import U64, in_arrow, mix, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, stop - k).columns[:-1], lists], names)
                 k = stop
 
-    return docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.col(key))).mapInArrow(apply, schema)
+    return in_arrow(docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.col(key))), apply, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -314,7 +314,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", o
             texts = [None if null else v.decode(ids[a:b]) for null, a, b in zip(column.is_null().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names)
 
-    return encoded.mapInArrow(apply, schema)
+    return in_arrow(encoded, apply, schema)
 
 
 def op3_piece_sampling(spark, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -7,7 +7,8 @@
 3. A linear scorer on hashed features (byte trigrams, and bins of a few ratios) is fitted to the posteriors of a sample by hash
    of about ``train_rows`` documents (a documented bound: a classifier may be fitted on a sample), then scores all documents.
 
-Cases: a null text is an empty one; texts without words get votes and a score like any other; repeated rows get equal scores;
+Cases: a null text is an empty one; texts without words get votes and a score like any other; very long texts are judged whole;
+repeated rows and copies get equal scores, and copies count once in the sample (but each in the counts of votes);
 null ids are kept; a column named like a result is replaced; without documents there is nothing to fit and the result is empty.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BY_ALNUM, WORD_BY_SPACE, as_bytes, read, word_bounds
+from .common import WORD_BY_ALNUM, WORD_BY_SPACE, as_bytes, in_arrow, read, word_bounds
 from .quality_rules import SYMBOLS, Text
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -202,7 +203,7 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("votes", T.LongType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("good", T.BooleanType())])
-    patterns = sorted(tuple(r) for r in texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())  # at most 3 ** labellers
+    patterns = sorted(tuple(r) for r in in_arrow(texts, count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())  # at most 3 ** labellers
     if not patterns:
         return docs.sparkSession.createDataFrame([], schema)
     counts = np.array([p[1] for p in patterns], float)
@@ -221,7 +222,7 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["votes", "place", "value"])
 
     # about train_rows rows; copies count once, so a large group of copies does not swell the sample
-    rows = sorted((r.votes, bytes(r.place), bytes(r.value)) for r in sample.distinct().mapInArrow(featured, "votes long, place binary, value binary").collect())
+    rows = sorted((r.votes, bytes(r.place), bytes(r.value)) for r in in_arrow(sample.distinct(), featured, "votes long, place binary, value binary").collect())
     good = model.posterior(np.array([r[0] for r in rows])) if rows else []
     weights = fit_scorer([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(float), float(y)) for (_, a, b), y in zip(rows, good, strict=True)]) if rows else np.append(np.zeros(DIMENSIONS), np.log(model.prior / (1 - model.prior)))
     handle = docs.sparkSession.sparkContext.broadcast((model, weights))
@@ -240,7 +241,7 @@ def classify(docs: DataFrame, text: str = "text", labellers: Sequence[Labeller]
             s = 1 / (1 + np.exp(-np.array(z)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, pa.int64()), pa.array(labels.posterior(np.array(v, np.int64)) if v else [], pa.float64()), pa.array(s, pa.float64()), pa.array(s >= 0.5, pa.bool_())], names)
 
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
