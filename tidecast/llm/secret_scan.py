@@ -24,12 +24,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, scratch_dir
+from .common import few_files, read, scratch_dir
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """kind; pattern, whose group `value` must have min_value code points (leftmost matches that fail are dropped); hint: lower-case texts of which a match holds one."""
+    """kind; pattern, whose group `value` must have min_value code points (leftmost matches that fail are dropped)."""
 
     kind: str
     pattern: str
@@ -117,7 +117,7 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_versions(docs, ledger).select("doc_id", "spans")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
-    return found.select("doc_id", *[of(r.kind) for r in BASE_RULES], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return few_files(found.select("doc_id", *[of(r.kind) for r in BASE_RULES], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")))
 
 
 def _sql_kind(rank: int, rule: SecretRule) -> str:
