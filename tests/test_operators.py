@@ -139,6 +139,19 @@ def test_logistic_against_numpy(spark):
     assert np.abs(gradient).max() < 1e-6
 
 
+def test_ranks_and_numbers_with_half_the_rows_equal(spark, monkeypatch):
+    monkeypatch.setattr(I, "BUCKET_ROWS", 40)
+    rng = np.random.default_rng(11)
+    v = np.where(rng.random(600) < 0.5, 7.0, np.round(rng.normal(size=600), 1))
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(600, None)], "k int, v double").repartition(5)
+    got = {r.k: r.r for r in I.with_average_rank(df, "v", "r").collect()}
+    assert got.pop(600) is None and all(got[i] == (v < x).sum() + ((v == x).sum() + 1) / 2 for i, x in enumerate(v))
+    n = I.numbered(df.filter("v is not null"), ["v", "k"], "n")
+    order = sorted(range(600), key=lambda i: (v[i], i))
+    assert [r.k for r in n.orderBy("n").collect()] == order and n.agg(F.max("n")).first()[0] == 600
+    assert I.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
 def test_permutation_p_is_uniform_under_no_effect(spark):
     rng = np.random.default_rng(8)
     df = spark.createDataFrame([(i, float(a), float(b), i % 3) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))], "k int, x double, y double, g int")

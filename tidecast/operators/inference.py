@@ -4,6 +4,8 @@ The generator makes a uniform number of a text key, the same in any engine, so r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,22 +17,36 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "rn", rank: str | None = None, buckets: int = 64) -> DataFrame:
-    """df with its row number, from 1, in the order of all rows, and the rank of its first order column if named; no task sorts
-    all rows. Cuts from a sample by hash deal the rows into buckets, each sorted by itself; the counts of the buckets before are added."""
-    first = F.col(order[0])
-    sample = sorted(r[0] for r in df.filter(first.isNotNull()).select(first).orderBy(F.xxhash64(first), first).limit(1024).collect())
-    cuts = sorted(set(sample[:: max(1, len(sample) // buckets)]))
-    rows = df.withColumn("__b", sum((F.coalesce(first > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0)))
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1024
+POISSON_MOST = 12  # a Poisson(1) number is larger once in 10 ** 10
+
+
+def _dealt(row: Column, cuts: list, low: int, high: int) -> Column:
+    """How many of cuts[low:high] lie below row, plus low, in as many comparisons as the number has bits."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    cut = F.struct(*[F.lit(v).alias(n) for n, v in cuts[mid].asDict().items()])
+    return F.when(row > cut, _dealt(row, cuts, mid + 1, high)).otherwise(_dealt(row, cuts, low, mid))
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
+    """df with its row number, from 1, in the order of all rows; no task sorts all of them. Cuts from a sample by hash deal the rows into
+    buckets of about BUCKET_ROWS rows, each sorted by itself; the counts of the buckets before are added. A cut is a value of all order
+    columns, so rows that tie in the first are dealt by the next."""
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keyed = df.withColumn("__k", key)
+    n = df.count()
+    buckets = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS + 1))
+    cuts = []
+    if buckets > 1:
+        sample = keyed.select("__k").orderBy(F.xxhash64("__k"), "__k").limit(16 * buckets).orderBy("__k").collect()  # of a fixed size
+        cuts = [r[0] for r in sample[16::16]]
+    rows = keyed.withColumn("__b", _dealt(F.col("__k"), cuts, 0, len(cuts)))
     counts = rows.groupBy("__b").agg(F.count("*").alias("n"))
     before = counts.withColumn("__before", F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select("__b", F.coalesce("__before", F.lit(0)).alias("__before"))
-    w = Window.partitionBy("__b")
-    rows = rows.withColumn(out, F.row_number().over(w.orderBy(*order)))
-    if rank:
-        rows = rows.withColumn(rank, F.rank().over(w.orderBy(order[0])))
-    rows = rows.join(F.broadcast(before), "__b")  # a row a bucket
-    shifted = {c: F.col(c) + F.col("__before") for c in [out, *([rank] if rank else [])]}
-    return rows.withColumns(shifted).drop("__b", "__before")
+    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+    return rows.join(F.broadcast(before), "__b").withColumn(out, F.col(out) + F.col("__before")).drop("__b", "__before", "__k")  # a row a bucket
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int = 200, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -50,10 +66,31 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int
     return both.select(*keys, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def row_bootstrap(rows: DataFrame, value: str, key: str, replicates: int = 200) -> DataFrame:
+    """(mean, low, high): mean with its 2.5 and 97.5 % bootstrap bounds, rows being drawn one by one: in each replicate a row counts as often as
+    a Poisson number of its hash says. One pass, whose sums by replicate are made before the exchange; no row is joined or sorted."""
+    each = rows.select(F.col(value).alias("v"), F.col(key).alias("k")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = uniform(F.col("b"), F.col("k"))
+    times, total = F.lit(0), 0.0
+    for n in range(POISSON_MOST):  # the number of steps of the distribution below u
+        total += math.exp(-1) / math.factorial(n)
+        times = times + (u >= total).cast("int")
+    means = each.withColumn("w", times).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("x"))
+    bounds = means.agg(F.expr("percentile(x, array(0.025D, 0.975D))").alias("q"))
+    return rows.agg(F.avg(value).alias("mean")).crossJoin(bounds).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # a row each
+
+
 def with_average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the rank of value from 1; ties share the mean of their ranks."""
-    r = numbered(df, [value], "__n", "__r")
-    return r.withColumn(out, F.col("__r") + (F.count("*").over(Window.partitionBy("__r")) - 1) / 2).drop("__n", "__r")
+    """df with the rank of value from 1; ties share the mean of their ranks. Values are counted first, so ties, however many, are one row when
+    they are ranked; a null has none."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    placed = numbered(counts, ["__v"], "__i")
+    # the running total over numbered values: by blocks of positions, then within them
+    block = placed.withColumn("__q", F.floor((F.col("__i") - 1) / BUCKET_ROWS))
+    before = block.groupBy("__q").agg(F.sum("__n").alias("__s")).withColumn("__before", F.sum("__s").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1))).select("__q", F.coalesce("__before", F.lit(0)).alias("__before"))
+    within = F.coalesce(F.sum("__n").over(Window.partitionBy("__q").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = block.withColumn("__r", within).join(F.broadcast(before), "__q").select("__v", (F.col("__before") + F.col("__r") + (F.col("__n") + 1) / 2).alias(out))  # a row a block
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def spearman(rows: DataFrame, x: str, y: str, z: str | None = None) -> DataFrame:
@@ -68,11 +105,15 @@ def spearman(rows: DataFrame, x: str, y: str, z: str | None = None) -> DataFrame
 
 def permutation_test(rows: DataFrame, x: str, y: str, group: str, key: str, replicates: int = 99) -> DataFrame:
     """(observed, exceed, p): how many shuffles of y within groups reach the correlation of x and y; p = (exceed + 1) / (replicates + 1)."""
-    base = rows.select(x, y, group, key).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key)))
-    many = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    turned = many.withColumn("turn", F.row_number().over(Window.partitionBy("b", group).orderBy(uniform(F.col("b"), F.col(key)), key)))
-    shuffled = many.select("b", group, "place", x).join(turned.select("b", group, F.col("turn").alias("place"), y), ["b", group, "place"])
-    each = shuffled.groupBy("b").agg(F.corr(x, y).alias("r"))
+    base = rows.select(x, y, group, key)
+    size = F.count("*").over(Window.partitionBy(group))
+    sides = base.withColumn("m", size).select(group, key, "m", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col(x).alias("v")), F.struct(F.lit(1).alias("side"), F.col(y).alias("v")))))
+    many = sides.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # x in the order of keys, behind them y in a shuffled one: one sort of each replicate's group pairs them, in one exchange
+    line = Window.partitionBy("b", group).orderBy("side", F.when(F.col("side") == 1, uniform(F.col("b"), F.col(key))), key)
+    placed = many.withColumn("place", F.row_number().over(line) - F.col("side") * F.col("m"))
+    met = placed.groupBy("b", group, "place").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("y"))
+    each = met.groupBy("b").agg(F.corr("x", "y").alias("r"))
     seen = base.agg(F.corr(x, y).alias("observed"))
     n = each.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count_if(F.abs("r") >= F.abs("observed")).alias("exceed"))
     return n.withColumn("p", (F.col("exceed") + 1) / F.lit(replicates + 1.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,14 @@ def a22(spark, d):
     return _four(I.cluster_bootstrap(_months(spark, d), "month", "dv"))
 
 
-@book.add("a23_row_bootstrap", _bootstrap_sql("v", "k", "r AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer)"))
+_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(I.POISSON_MOST)]
+_TIMES = " + ".join(f"(u >= {x!r})::INTEGER" for x in _STEPS)
+
+
+@book.add("a23_row_bootstrap", f"""WITH e AS (SELECT b, c_acctbal AS v, {U("b || '|' || c_custkey")} AS u FROM customer, range(1, 201) t(b)), w AS (SELECT b, v, {_TIMES} AS w FROM e), x AS (SELECT b, sum(w * v) / sum(w) AS x FROM w GROUP BY b)
+SELECT round((SELECT avg(c_acctbal) FROM customer), 4) AS mean, round(quantile_cont(x, 0.025), 4) AS low, round(quantile_cont(x, 0.975), 4) AS high FROM x""")
 def a23(spark, d):
-    return _four(I.cluster_bootstrap(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", "v"))
+    return _four(I.row_bootstrap(table(spark, d, "customer"), "c_acctbal", "c_custkey"))
 
 
 RANKS_SQL = "c AS (SELECT c_custkey AS k, round(c_acctbal, -2) AS x, c_nationkey::DOUBLE AS y, length(c_name) + c_custkey % 17 AS z FROM customer), rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2 AS r{v}" for v in "xyz") + " FROM c)"
