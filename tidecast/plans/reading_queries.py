@@ -284,3 +284,15 @@ def prompts(spark, d) -> DataFrame:
     for part in some[1:]:
         out = out.unionByName(part)
     return out
+
+
+@book.add("m4_verified_answers", f"SELECT p_partkey, CASE WHEN p_partkey % {len(FAULTS)} = 5 THEN 0.0 WHEN p_partkey % {len(FAULTS)} = 0 THEN p_size / 10.0 END::DOUBLE AS value FROM part")
+def m4(spark, d):
+    """Replies with an object in prose, read and verified against the text that was sent; only answers that break no rule give a value."""
+    k, x = F.col("p_partkey") % len(FAULTS), (F.col("p_size") / 10.0).cast("decimal(8,1)")
+    text = F.concat(F.lit("In June, the index rose "), x.cast("string"), F.lit(" percent after it fell 0.1 percent in May. It was unchanged in June at home."))
+    quote = F.when(k == 5, "It was unchanged in June").when(k == 3, "the index gained").otherwise(F.concat(F.lit("the index rose "), x.cast("string"), F.lit(" percent")))
+    value = F.when(k == 5, 0.0).when(k == 0, x.cast("double")).otherwise(-1.0 - x.cast("double"))
+    answer = F.to_json(F.struct(F.lit("pct_change").alias("kind"), value.alias("value"), quote.alias("quote"), F.lit("2024-06").alias("month")))
+    replies = table(spark, d, "part").select("p_partkey", text.alias("text"), F.concat(F.lit("Here it is: ```json\n"), answer, F.lit("\n``` I am sure {so}.")).alias("reply"))
+    return X.verified_answers(replies, "reply", "text", F.lit("2024-06"), F.lit(100.0), F.lit(1.0)).select("p_partkey", "value")
