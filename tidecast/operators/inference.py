@@ -131,7 +131,7 @@ def auc(rows: DataFrame, score: str, label: str, key: str) -> DataFrame:
     r = numbered(rows, [score, key], "r")
     n1 = F.sum(F.when(F.col(label) == 1, 1).otherwise(0))
     n0 = F.count("*") - n1
-    return r.agg(((F.sum(F.when(F.col(label) == 1, F.col("r"))) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
+    return r.agg(F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("r"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))  # null with one label only
 
 
 def logistic(rows: DataFrame, features: list[str], label: str, c: float = 0.3, steps: int = 50) -> dict:
@@ -140,6 +140,8 @@ def logistic(rows: DataFrame, features: list[str], label: str, c: float = 0.3, s
     k = len(features)
     rows = rows.select(*features, label).persist()  # read in each step; lost parts are found again from the lineage
     m = rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    if k and m["m0"] is None:  # no rows: a model that says one half
+        return {"mean": [0.0] * k, "scale": [1.0] * k, "intercept": 0.0, "weights": [0.0] * k}
     mean, scale = [m[f"m{i}"] for i in range(k)], [m[f"s{i}"] + 1e-9 for i in range(k)]
     x = [F.lit(1.0)] + [(F.col(f) - mean[i]) / scale[i] for i, f in enumerate(features)]
     w = np.zeros(k + 1)

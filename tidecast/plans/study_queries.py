@@ -98,7 +98,7 @@ def g30(spark, d):
     y = rows.filter(~train).select("unit_id", "cell", "y")
     score = lambda v: S.crps(v.select("unit_id", "draw", "cell", "value"), y, ["unit_id"]).agg(F.avg("crps").alias("crps")).first().crps  # noqa: E731  a number
     plain = score(held)
-    change = [(arm, 0.0 if models[arm] is None else score(T.shifted_by_model(held, features(spark, d), models[arm], names, keys)) / plain - 1) for arm, names in ARMS.items()]
+    change = [(arm, 0.0 if models[arm] is None or not plain else score(T.shifted_by_model(held, features(spark, d), models[arm], names, keys)) / plain - 1) for arm, names in ARMS.items()]
     return out.join(spark.createDataFrame(change, "arm string, crps_change double"), "arm").select("arm", "n", *[rounded(c).alias(c) for c in ("hits", "auc", "crps_change")])
 
 
