@@ -94,9 +94,15 @@ def f6(spark, d):
 
 @book.add("f12_look_ahead", f"{with_('panel', 'cards')} SELECT unit_id, count(*) FILTER (WHERE date > as_of) AS after, count(*) FILTER (WHERE date + 1 > as_of) AS strict FROM panel, cards GROUP BY unit_id")
 def f12(spark, d):
-    by_date = daily_panel(spark, d).groupBy("date").agg(F.count("*").alias("n"))  # counts by day; every card looks at all days
-    c = cards(spark, d).crossJoin(by_date)  # cards x days: a calendar, not the panel
-    return c.groupBy("unit_id").agg(F.sum(F.when(F.col("date") > F.col("as_of"), F.col("n")).otherwise(0)).alias("after"), F.sum(F.when(F.date_add("date", 1) > F.col("as_of"), F.col("n")).otherwise(0)).alias("strict"))
+    """What is not yet known is the total less a running count by day, looked up as of each card, and as of the day before it."""
+    days = daily_panel(spark, d).groupBy("date").agg(F.count("*").alias("here"))
+    known = days.select("date", F.sum("here").over(Window.orderBy("date")).alias("n"))  # a row a calendar day
+    total = days.agg(F.sum("here")).scalar()
+    c = cards(spark, d).withColumn("before", F.date_sub("as_of", 1))
+    at = A.as_of_join(c, known, [], "as_of", "date", ["n"]).drop("date").withColumnRenamed("n", "known")
+    both = A.as_of_join(at, known, [], "before", "date", ["n"])
+    left = lambda n: total - F.coalesce(F.col(n), F.lit(0))
+    return both.select("unit_id", left("known").alias("after"), left("n").alias("strict"))
 
 
 @book.add("a1_mean_step", f"{with_('panel')}{STEPS_SQL} SELECT asset, round(avg(step), 4) AS mu FROM win GROUP BY asset")
