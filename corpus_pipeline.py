@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import decontamination, near_dedup, piece_sampling, quality_rules
 from tidecast.llm import line_dedup as lines
-from tidecast.llm.common import discard, read, stored
+from tidecast.llm.common import discard, read, rest, stored
 
 
 def _apart(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """stage(docs) with the columns of docs; those that bear the name of one that the stage adds go by another meanwhile."""
+    rest(docs.sparkSession)
     away = {c: f"__own_{c}" for c in docs.columns if c in added}
     out = stage(docs.withColumnsRenamed(away))
     return out.drop(*away).withColumnsRenamed({b: a for a, b in away.items()}).select(*docs.columns)
@@ -64,6 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a benchmark item, with up to 15 % of its words edited, go.
 
     Null and empty texts hold none and stay; copies and repeated rows go together."""
+    rest(spark)
     return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -73,6 +75,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has null pieces, n_pieces null, and is lossless; an empty one has the piece of the space before it. Repeated rows, and
     copies under one id, have equal pieces; copies under other ids are sampled by themselves. Null ids share one seed. A column
     that documents lack is null."""
+    rest(spark)
     docs = docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "text", "lang", "source")])
     vocabulary = piece_sampling.Vocabulary.load()
     decoded = piece_sampling.decode(piece_sampling.encode(docs, vocabulary), vocabulary)
