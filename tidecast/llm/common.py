@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -56,9 +58,10 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """Rows of a few numbers in at most four partitions for each core of the cluster; each written file costs the file system a round trip or more."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+def few_files(df: DataFrame, least: int = 1) -> DataFrame:
+    """Rows of a few numbers in at most four partitions for each core of the cluster, but at least `least`; each written file costs the file
+    system a round trip or more."""
+    return df.coalesce(max(least, 4 * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def discard(*frames: DataFrame | None) -> None:
@@ -71,16 +74,45 @@ def discard(*frames: DataFrame | None) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of an Arrow batch where the session leaves Spark's own 10,000: texts may be long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = 1000
+#: Rows of a batch where the session leaves Spark's own sizes (10,000 for Arrow, 4,096 for Parquet): texts may be long, and a batch is
+#: held by the JVM and by Python.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 512), "spark.sql.parquet.columnarReaderBatchSize": ("4096", 512)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (usual, rows) in BATCH_ROWS.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, rows)
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow(function, schema) in batches of BATCH_ROWS rows, unless the session asks for a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow(function, schema) in batches of BATCH_ROWS rows, unless the session asks for sizes of its own. A worker, which Spark keeps
+    for later tasks, gives its memory back when the task's rows are out."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; where the C library has no such call, only Arrow's does."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def rest(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that the heap that one step has grown goes back to the system before the next, whose
+    Python workers share the machine with it. A task for each core and as many again, so that every executor is likely to get one."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, discard, few_files, filter_bits, fold, in_arrow, mix, read, shingles, stored, word_hashes
+from .common import U64, WORD_BY_SPACE, TwiceFilter, as_bytes, discard, few_files, filter_bits, fold, in_arrow, mix, read, rest, shingles, stored, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -241,10 +241,12 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
     # copies of a text are one before it is shuffled
     bodies = docs.select(_copy(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
     texts = stored(bodies.join(involved.select("copy", "node").distinct(), "copy").select("node", "text"), "texts")
+    rest(docs.sparkSession)
     able = stored(_able(texts, similarity), "able", narrow=True)
     left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets", narrow=True)
     discard(involved, able)
     labels, tried, done = None, None, []
+    rest(docs.sparkSession)
     for leaders in LEADERS:
         if left.isEmpty():
             break
@@ -267,8 +269,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
             discard(before)
         tried = fresh if tried is None else tried.unionByName(fresh)
         if leaders:
-            rest = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-            after = stored(_open(rest), "buckets", narrow=True)
+            relabelled = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+            after = stored(_open(relabelled), "buckets", narrow=True)
             discard(left)
             left = after
         done += [fresh, linked]
@@ -315,7 +317,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, copy, node, class_id): a row for each row of docs; copy tells the text, node its folded words."""
-    nodes = stored(nodes_of(docs, id_column, text), "nodes")
+    nodes = stored(nodes_of(docs, id_column, text), "nodes", narrow=True)
+    rest(docs.sparkSession)
     labels = links(docs, nodes, text, similarity)
     own = nodes.select("id", "copy", "node")
     least = own.groupBy("node").agg(F.min("id").alias("least"))

@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, WORD_BY_ALNUM, Spans, TwiceFilter, as_bytes, discard, filter_bits, fold, in_arrow, mix, read, signed, stored, word_hashes
+from .common import U64, WORD_BY_ALNUM, Spans, TwiceFilter, as_bytes, discard, few_files, filter_bits, fold, in_arrow, mix, read, rest, signed, stored, word_hashes
 
 MIN_WORDS = 50
 WINDOW, GRAM = 16, 8
 REACH = WINDOW - 1
-TASK_ROWS = 200_000
+TASK_ROWS, RANGES = 200_000, 4  # rows of a range, ranges of a task
 
 
 def minimisers(spans: Spans, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -178,7 +178,8 @@ def _neighbours(suspects: DataFrame, order: list[str]) -> DataFrame:
         nothing = [pa.nulls(len(ends), x.type) for x in known]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(np.full(len(ends), task, np.int32)), pa.array(flags[ends].astype(np.int32)), struct(pa.array(ends))], schema.names)
 
-    found = stored(in_arrow(dealt, compare, schema), "neighbours", narrow=True)
+    rest(suspects.sparkSession)
+    found = stored(few_files(in_arrow(dealt, compare, schema), parts // RANGES), "neighbours")
     edges = found.filter("flags > 0").select("task", "flags", "edge.*")
     out = found.filter("flags = 0").select(*_FOUND).unionByName(_across(edges, T.StructType([schema[c] for c in _FOUND])))
     out._stored_at = found._stored_at
