@@ -45,12 +45,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int = 0) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors.
 
-    narrow: rows of a few numbers, written in at most four files for each core of the cluster."""
-    if narrow:
-        df = few_files(df)
+    files: rows of a few numbers, written in at most four files for each core of the cluster, or in so many where that is more."""
+    if files:
+        df = few_files(df, files)
     path = f"{scratch_dir(df.sparkSession)}/tidecast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

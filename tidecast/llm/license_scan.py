@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_files, read
+from .common import few_files, read, rest
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,6 +119,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cover:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    rest(spark)
     return few_files(scan(read(spark, sf_dir, "documents")))
 
 

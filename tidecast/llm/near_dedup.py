@@ -48,6 +48,7 @@ PARITIES = 512
 LEADERS = (1, 8, None)  # of a bucket, by round; None: all
 CHUNKS = 4096
 SKETCH_CELLS = 1 << 20
+TASK_NODES = 50_000  # documents whose nodes, sketches and buckets a task writes at most
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -234,16 +235,17 @@ def _possible(a: Callable[[str], Column], b: Callable[[str], Column], similarity
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): the components that the verified pairs of different nodes make."""
+    files = nodes.count() // TASK_NODES + 1
     each = nodes.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("copy").alias("copy"))
     members = each.select("node", "copy", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    involved = stored(members.join(shared, "bucket").select("bucket", "node", "copy"), "buckets", narrow=True)
+    involved = stored(members.join(shared, "bucket").select("bucket", "node", "copy"), "buckets", files=files)
     # copies of a text are one before it is shuffled
     bodies = docs.select(_copy(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
     texts = stored(bodies.join(involved.select("copy", "node").distinct(), "copy").select("node", "text"), "texts")
     rest(docs.sparkSession)
-    able = stored(_able(texts, similarity), "able", narrow=True)
-    left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets", narrow=True)
+    able = stored(_able(texts, similarity), "able", files=files)
+    left = stored(_open(involved.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node"))), "buckets", files=files)
     discard(involved, able)
     labels, tried, done = None, None, []
     rest(docs.sparkSession)
@@ -262,15 +264,15 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
         # the node with fewer shingles of its own first: it is in most pairs of its group
         first = F.struct(m("rarity"), m("node")) < F.struct(l("rarity"), l("node"))
         pairs = met.select(F.when(first, m("node")).otherwise(l("node")).alias("u"), F.when(first, l("node")).otherwise(m("node")).alias("v")).distinct()
-        fresh = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs", narrow=True)
-        linked = stored(_verify(fresh, texts, similarity), "links", narrow=True)
+        fresh = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs", files=files)
+        linked = stored(_verify(fresh, texts, similarity), "links", files=files)
         before, labels = labels, components(linked) if labels is None else _joined(labels, linked)
         if before is not None:
             discard(before)
         tried = fresh if tried is None else tried.unionByName(fresh)
         if leaders:
             relabelled = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-            after = stored(_open(relabelled), "buckets", narrow=True)
+            after = stored(_open(relabelled), "buckets", files=files)
             discard(left)
             left = after
         done += [fresh, linked]
@@ -281,13 +283,13 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", similarity: flo
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels with the components that further edges connect made one."""
     if edges.isEmpty():
-        return stored(labels, "labels", narrow=True)
+        return stored(labels, "labels", files=1)
     named = edges
     for c in ("u", "v"):
         named = named.join(labels.select(F.col("node").alias(c), F.col("label").alias("l")), c, "left").withColumn(c, F.coalesce("l", c)).drop("l")
     joined = components(named.filter("u != v").select("u", "v").distinct())
     known = labels.unionByName(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
-    out = stored(known.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels", narrow=True)
+    out = stored(known.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels", files=1)
     discard(joined)
     return out
 
@@ -300,13 +302,13 @@ def _open(left: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges is connected to."""
-    both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", narrow=True)
+    both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", files=1)
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", files=1)
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
         least = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels", narrow=True)
+        after = stored(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels", files=1)
         discard(labels)
         labels = after.select("node", "label")
         labels._stored_at = after._stored_at
@@ -317,16 +319,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, copy, node, class_id): a row for each row of docs; copy tells the text, node its folded words."""
-    nodes = stored(nodes_of(docs, id_column, text), "nodes", narrow=True)
+    rest(docs.sparkSession)
+    nodes = stored(nodes_of(docs, id_column, text), "nodes", files=docs.count() // TASK_NODES + 1)
     rest(docs.sparkSession)
     labels = links(docs, nodes, text, similarity)
     own = nodes.select("id", "copy", "node")
     least = own.groupBy("node").agg(F.min("id").alias("least"))
     # each table that a large group of copies or a large class joins is written first, so that both sides of the join can be split
-    linked = stored(least.join(labels, "node"), "linked", narrow=True)
-    of_class = stored(linked.groupBy("label").agg(F.min("least").alias("class_id")), "classes", narrow=True)
+    linked = stored(least.join(labels, "node"), "linked", files=1)
+    of_class = stored(linked.groupBy("label").agg(F.min("least").alias("class_id")), "classes", files=1)
     by_node = linked.join(of_class, "label").select("node", "class_id")
-    named = stored(least.join(by_node, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id")), "named", narrow=True)
+    named = stored(least.join(by_node, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id")), "named", files=1)
     discard(linked, of_class, labels)
     return own.join(named, "node").select(F.col("id").alias(id_column), "copy", "node", "class_id")
 

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, read, scratch_dir
+from .common import few_files, read, rest, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,7 @@ def _joined(spans: Column) -> Column:
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """A fresh ledger: every blob of the table is unseen."""
+    rest(spark)
     ledger = f"{scratch_dir(spark)}/tidecast/ledger-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_versions(docs, ledger).select("doc_id", "spans")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, WORD_BY_ALNUM, Spans, TwiceFilter, as_bytes, discard, few_files, filter_bits, fold, in_arrow, mix, read, rest, signed, stored, word_hashes
+from .common import U64, WORD_BY_ALNUM, Spans, TwiceFilter, as_bytes, discard, filter_bits, fold, in_arrow, mix, read, rest, signed, stored, word_hashes
 
 MIN_WORDS = 50
 WINDOW, GRAM = 16, 8
@@ -130,10 +130,15 @@ _FIRST, _LAST, _TOLD = 1, 2, (4, 8, 16, 32)  # in a task's first run, in its las
 _FOUND = ["id", "text_hash", "core", "place", "left", "right", "bits", "other"]
 
 
+def _files(suspects: DataFrame) -> int:
+    """So many that a task takes RANGES times TASK_ROWS suffixes at most."""
+    return suspects.count() // (RANGES * TASK_ROWS) + 1
+
+
 def _neighbours(suspects: DataFrame, order: list[str]) -> DataFrame:
     """(id, text_hash, core, place, left, right, bits, other): what each suffix shares with its neighbours in one order; other is the
     neighbour that shares most words before."""
-    parts = max(int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions")), suspects.count() // TASK_ROWS + 1)
+    parts = max(int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES * _files(suspects))
     keys = [*order, "id", "text_hash"]
     # the number of the range goes with its rows, as a task may take several ranges one after the other
     dealt = suspects.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id())
@@ -179,7 +184,7 @@ def _neighbours(suspects: DataFrame, order: list[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(np.full(len(ends), task, np.int32)), pa.array(flags[ends].astype(np.int32)), struct(pa.array(ends))], schema.names)
 
     rest(suspects.sparkSession)
-    found = stored(few_files(in_arrow(dealt, compare, schema), parts // RANGES), "neighbours")
+    found = stored(in_arrow(dealt, compare, schema), "neighbours", files=_files(suspects))
     edges = found.filter("flags > 0").select("task", "flags", "edge.*")
     out = found.filter("flags = 0").select(*_FOUND).unionByName(_across(edges, T.StructType([schema[c] for c in _FOUND])))
     out._stored_at = found._stored_at
@@ -244,14 +249,14 @@ def _settled(best: DataFrame, suspects: DataFrame) -> DataFrame:
     low = F.greatest(F.lit(REACH) - F.col("right"), F.lit(0))
     power = lambda c: F.call_function("shiftleft", F.lit(1), c)
     may = F.when(F.col("left") >= low, (power(F.col("left") + 1) - power(low)).bitwiseAND(F.bitwise_not("bits"))).otherwise(0)
-    cores = stored(best.withColumn("open", may).filter("open != 0").groupBy("core").agg(F.bit_or("open").alias("open")), "cores", narrow=True)
+    cores = stored(best.withColumn("open", may).filter("open != 0").groupBy("core").agg(F.bit_or("open").alias("open")), "cores", files=1)
     each = suspects.join(cores, "core").withColumn("l", F.explode(F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.call_function("getbit", F.col("open"), i) == 1)))
     none, beyond = F.unhex(F.lit("")), F.unhex(F.lit("00000000"))
     last = lambda c, size: F.when(size > 0, F.substring(F.col(c), 4 * size - 3, F.lit(4))).otherwise(none)  # noqa: E731  the mark of so many words
     key = F.struct("core", "l", last("before", F.col("l")).alias("before"), last("after", REACH - F.col("l")).alias("after"))
-    passages = stored(each.select("id", "text_hash", "place", key.alias("key")).filter((F.col("key.before") != beyond) & (F.col("key.after") != beyond)), "passages", narrow=True)
+    passages = stored(each.select("id", "text_hash", "place", key.alias("key")).filter((F.col("key.before") != beyond) & (F.col("key.after") != beyond)), "passages", files=_files(suspects))
     doc = F.struct("text_hash", "id")
-    shared = stored(passages.groupBy("key").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))), "shared", narrow=True)
+    shared = stored(passages.groupBy("key").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))), "shared", files=1)
     other = F.when(F.col("a").eqNullSafe(doc), F.col("b.id")).otherwise(F.col("a.id"))
     return passages.join(shared, "key").select("id", "text_hash", "place", power(F.col("key.l")).alias("bits"), other.alias("other"))
 
@@ -262,11 +267,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     passages: array of (start, end, other), words from 0, end exclusive; other is the id of a document that shares its start."""
     if min_words < WINDOW + GRAM + REACH:
         raise ValueError(f"min_words must be {WINDOW + GRAM + REACH} or more")
+    rest(docs.sparkSession)
     suspects = stored(_suspects(docs, id_column, text, min_words), "suffixes")
     orders = [_neighbours(suspects, order) for order in (["core", "after", "before"], ["core", "before", "after"])]
     best = stored(orders[0].unionByName(orders[1]).groupBy("id", "text_hash", "core", "place").agg(
         F.max("left").alias("left"), F.max("right").alias("right"), F.bit_or("bits").alias("bits"), F.max_by("other", "bits").alias("other")
-    ), "reaches", narrow=True)
+    ), "reaches", files=_files(suspects))
     discard(*orders)
     found = best.filter("bits != 0").select("id", "text_hash", "place", "bits", "other").unionByName(_settled(best, suspects))
     held = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "bits", "other")).alias("found"))

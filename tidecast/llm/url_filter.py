@@ -119,12 +119,12 @@ def fit(labelled: DataFrame, url: str = "url", blocked: str = "blocked", trees:
         return UrlModel()
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.lit(9), "url"), F.lit(FOLDS)))
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"__{k}").alias("key")) for k in STATISTICS]))
-    by_fold = stored(train.select(kinds.alias("s"), "y", "__fold").groupBy("s.statistic", "s.key", "__fold").agg(F.sum("y").alias("a"), F.count("*").alias("n")), "url-counts", narrow=True)
+    by_fold = stored(train.select(kinds.alias("s"), "y", "__fold").groupBy("s.statistic", "s.key", "__fold").agg(F.sum("y").alias("a"), F.count("*").alias("n")), "url-counts", files=1)
     share = (ones + 1) / (n + 2)
     prior = math.log(share / (1 - share))
     log_odds = lambda a, n: F.round(F.log((a + 2 * share) / (n - a + 2 * (1 - share))) - prior, 6).alias("log_odds")
     whole = by_fold.groupBy("statistic", "key").agg(F.sum("a").alias("all_a"), F.sum("n").alias("all_n"))
-    model = UrlModel(round(prior, 6), [], stored(whole.select("statistic", "key", log_odds(F.col("all_a"), F.col("all_n"))), "url-suffixes", narrow=True))
+    model = UrlModel(round(prior, 6), [], stored(whole.select("statistic", "key", log_odds(F.col("all_a"), F.col("all_n"))), "url-suffixes", files=1))
     others = by_fold.join(whole, ["statistic", "key"]).select("statistic", "key", "__fold", log_odds(F.col("all_a") - F.col("a"), F.col("all_n") - F.col("n")))
     x = _with_odds(train, others, "__fold").select("y", *[f"__{k}" for k in FEATURES])
     x = stored(x, "url-features")
